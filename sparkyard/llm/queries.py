@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_digests
 from .common import table
+from .fingerprints import edited_fingerprints
+from .sharding import shard_by_bytes
 from .simhash import simhash_components
 from .token_counts import token_counts
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), width=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,7 +42,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op7_byte_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op2_sharding, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
