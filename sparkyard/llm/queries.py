@@ -12,6 +12,7 @@ from .common import table
 from .fingerprints import edited_fingerprints
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
+from .substrings import remove_repeats
 from .token_counts import token_counts
 
 
@@ -20,6 +21,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op2_sharding, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
