@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_digests
 from .common import table
 from .fingerprints import edited_fingerprints
+from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
 from .substrings import remove_repeats
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,8 +54,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
