@@ -27,6 +27,8 @@ from .common import by_bytes, fields, small_batches
 
 #: Words of a window, and of the runs among which its anchor is found.
 K, ANCHOR = 13, 5
+#: Parts that a shuffle partition is settled in, one after the other.
+PARTS = 8
 #: Rank of a null id: after all others.
 _LAST = (1 << 63) - 1
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -214,7 +216,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x.append(y)
             n += len(rank)
         blobs.clear()
-        rank, tag, row, word, anchor, edge = map(np.concatenate, (ranks, tags, rows, words, anchors, edges))
+        rank, tag, row, word, anchor, edge = (np.concatenate(x) for x in (ranks, tags, rows, words, anchors, edges))
+        del ranks, tags, rows, words, anchors, edges
         later, source = _later_copies(_mix(edge ^ anchor), anchor, rank[row])
         # a mixed key of 64 bits gathers; the 48 bits of the edge under a 64-bit anchor decide
         true = edge[later] == edge[source]
@@ -253,7 +256,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs, (), id_col, text)
-    sent = rows.select("__rank", "__tag", "__text").mapInArrow(_send(2 * parts), _SENT)
+    sent = rows.select("__rank", "__tag", "__text").mapInArrow(_send(PARTS * parts), _SENT)
     met = sent.repartition(parts, "part").sortWithinPartitions("part")
     spans = met.mapInArrow(_settle, "rank bigint, tag bigint, spans binary")
     return spans.groupBy(F.col("rank").alias("__rank"), F.col("tag").alias("__tag")).agg(F.collect_list("spans").alias("spans"))
