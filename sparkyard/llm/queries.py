@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_digests
 from .common import table
 from .fingerprints import edited_fingerprints
+from .pii import pii_spans
 from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
@@ -18,6 +19,10 @@ from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
