@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_digests
 from .common import table
+from .decontamination import contaminated
 from .fingerprints import edited_fingerprints
 from .pii import pii_spans
 from .quality import quality
@@ -59,12 +60,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
