@@ -24,14 +24,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, in a place of this session's own.
 
     A folder of our own is used only where the session names none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkyard-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -80,6 +86,34 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def _edit_batches(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list[str | None], int], pa.RecordBatch]) -> DataFrame:
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in by_bytes([t or "" for t in texts]):
+                yield work(batch.slice(a, b - a), texts[a:b], at)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_texts(df: DataFrame, good: Callable[[list[str]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of df whose whole texts (null: empty) `good` accepts, with all their columns."""
+    return _edit_batches(df, text, lambda batch, texts, at: batch.filter(pa.array([bool(x) for x in good([t or "" for t in texts])])))
+
+
+def replace_texts(df: DataFrame, new: Callable[[str], str], text: str = "text") -> DataFrame:
+    """df with `new` applied to every whole text; null stays null."""
+
+    def work(batch: pa.RecordBatch, texts: list[str | None], at: int) -> pa.RecordBatch:
+        changed = pa.array([None if t is None else new(t) for t in texts], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], changed, *batch.columns[at + 1 :]], schema=batch.schema)
+
+    return _edit_batches(df, text, work)
+
+
 def arrow_types(schema: T.StructType) -> dict[str, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

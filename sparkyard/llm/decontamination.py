@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fields, map_texts
+from .common import checkpointed, fields, filter_texts, map_texts
 
 #: Edits per character of an item; items below SHORT characters match whole texts only.
 RATE, SHORT, GRAM = 0.1, 16, 5
@@ -192,7 +192,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, item_col: str = "item_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with the columns of docs; one pass over docs a block."""
     for block in _blocks(benchmark, item_col, text):
-        whole: Column = F.struct(*docs.columns)
-        rows = docs.select(whole.alias("__row"), F.col(text).alias("__body"))
-        docs = _matched(rows, block, ["__row"], rate, "__body").where(F.size("found") == 0).select("__row.*")
+        matcher = Matcher(block, rate)
+        docs = filter_texts(docs, lambda texts, m=matcher: [not m.find(t) for t in texts], text)
     return docs

@@ -10,7 +10,7 @@ into tiles, and each pair of tiles is a task of its own, so that no bucket has t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -65,88 +65,111 @@ def _bounds() -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _tables(fp: Column, distance: int) -> Column:
-    """The keys of a fingerprint, one a table: the table's number and the bits of its blocks."""
-    keys = []
-    for number, chosen in enumerate(combinations(_bounds(), BLOCKS - distance)):
-        mask = sum(((1 << (b - a)) - 1) << a for a, b in chosen)
-        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*keys)
+def stars(rows: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each linked row but the first of its group, and of that first one.
 
-
-def _stars(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked fingerprint but the first of its group, with that first one."""
-    left, member, root = np.sort(fps), [], []
+    near(rest, row) tells which of the rows `rest` link to `row`. Every row is held against those
+    not yet reached, so groups come out whole without a list of pairs.
+    """
+    left, member, root = np.arange(len(rows)), [], []
     while len(left) > 1:
         first, rest = left[0], left[1:]
         frontier = np.array([first])
         while len(frontier) and len(rest):
-            near = np.zeros(len(rest), bool)
+            hit = np.zeros(len(rest), bool)
             for f in frontier:
-                near |= np.bitwise_count(rest ^ f) <= distance
-            frontier, rest = rest[near], rest[~near]
+                hit |= near(rows[rest], rows[f])
+            frontier, rest = rest[hit], rest[~hit]
             member.append(frontier)
             root.append(np.full(len(frontier), first))
         left = rest
-    none = np.empty(0, np.uint64)
+    none = np.empty(0, np.int64)
     return np.concatenate([none, *member]), np.concatenate([none, *root])
 
 
-def _search(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; a bucket may run over several batches."""
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            new = np.ones(len(rows[0]), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(new)))
-            fps = rows[3].view(np.uint64)
-            pairs = starts[sizes == 2]
-            a, b = fps[pairs], fps[pairs + 1]
-            close = np.bitwise_count(a ^ b) <= distance
-            found = [(a[close], b[close])]
-            found += [_stars(fps[s : s + n], distance) for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True)]
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def bucket_search(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int | None = None) -> Callable:
+    """Arrow function from rows (bucket in 3 columns, node, content) sorted by bucket to links (a, b).
+
+    Content is a long, or `width` bytes. A bucket may run over several batches.
+    """
+
+    def content(column: pa.Array) -> np.ndarray:
+        if width is None:
+            return column.to_numpy().view(np.uint64)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+    def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(new)))
+        node, data = rows[3], rows[4]
+        two = starts[sizes == 2]
+        close = near(data[two], data[two + 1]) if len(two) else np.empty(0, bool)
+        found = [(node[two][close], node[two + 1][close])]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            member, root = stars(data[s : s + n], near)
+            found.append((node[s + member], node[s + root]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # of the bucket that the last batch ended in
+        joined = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
         for batch in batches:
-            rows = tuple(batch.column(i).to_numpy() for i in range(4))
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
-            same = np.all([x == x[-1] for x in rows[:3]], axis=0)
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if held and last:
-                rows, held = tuple(np.concatenate(x) for x in zip(*held, rows, strict=True)), []
-                last += len(rows[0]) - len(same)
-            if last:
-                yield flush(tuple(x[:last] for x in rows))
-                rows = tuple(x[last:] for x in rows)
-            elif held and any(x[0] != y[0] for x, y in zip(held[0][:3], rows[:3], strict=True)):
-                yield flush(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            rows = (*(batch.column(i).to_numpy() for i in range(4)), content(batch.column(4)))
+            if held and any(x[0] != y[-1] for x, y in zip(rows[:3], held[-1][:3], strict=True)):
+                yield flush(joined())
                 held = []
-            held.append(rows)
+            same = np.all([x == x[-1] for x in rows[:3]], axis=0)
+            if same.all():
+                held.append(rows)
+                continue
+            last = len(same) - int(np.argmin(same[::-1]))
+            held.append(tuple(x[:last] for x in rows))
+            yield flush(joined())
+            held = [tuple(x[last:] for x in rows)]
         if held:
-            yield flush(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield flush(joined())
 
     return run
 
 
+def in_tiles(keyed: DataFrame, tile: int) -> DataFrame:
+    """(key, t, u, node) of the buckets with several nodes; a bucket above `tile` in pairs of tiles."""
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(full, "key").select("key", "node", F.expr(f"int(ceil(n / {tile}))").alias("g"))
+    met = met.withColumn("t", F.expr("int(pmod(xxhash64(node), g))"))
+    met = met.select("key", "node", "t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
+    return met.select("key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "node")
+
+
+def searched(met: DataFrame, near: Callable, width: int | None = None) -> DataFrame:
+    """Links in rows (key, t, u, node, content)."""
+    small_batches(met.sparkSession)
+    met = met.select("key", "t", "u", "node", "content").repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+    return met.mapInArrow(bucket_search(near, width), "a bigint, b bigint")
+
+
+def tables(fp: Column, distance: int) -> Column:
+    """The keys of a fingerprint, one a table: the table's number and the bits of its blocks."""
+    keys = []
+    for number, chosen in enumerate(combinations(_bounds(), BLOCKS - distance)):
+        mask = sum(((1 << (b - a)) - 1) << a for a, b in chosen)
+        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return F.array(*keys)
+
+
 def close_links(fps: DataFrame, distance: int = 3, tile: int = TILE) -> DataFrame:
     """(a, b): links that join all fingerprints within `distance` bits, stars in place of all pairs.
 
     fps: one distinct fingerprint a row, column fp.
     """
-    small_batches(fps.sparkSession)
-    keyed = fps.select("fp", F.explode(_tables(F.col("fp"), distance)).alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(full, "key").select("key", "fp", F.expr(f"int(ceil(n / {tile}))").alias("g"))
-    met = met.withColumn("t", F.expr("int(pmod(xxhash64(fp), g))"))
-    met = met.select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
-    met = met.select("key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "fp")
-    met = met.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
-    return met.mapInArrow(_search(distance), "a bigint, b bigint")
+    keyed = fps.select(F.col("fp").alias("node"), F.explode(tables(F.col("fp"), distance)).alias("key"))
+    met = in_tiles(keyed, tile).withColumn("content", F.col("node"))
+    return searched(met, lambda rest, one: np.bitwise_count(rest ^ one) <= distance)
 
 
 def simhash_components(docs: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
