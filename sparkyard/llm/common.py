@@ -19,7 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches bounded by bytes as well as by rows."""
+    """Read and hand over rows in portions fit for long texts.
+
+    The Parquet reader's default of 4096 rows makes arrays of tens of megabytes for columns of
+    documents, which fragment an executor's heap; batches for Python are bounded by bytes too.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 

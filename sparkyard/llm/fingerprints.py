@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: Buckets of neighbouring ids in which the next document is looked up.
 BUCKETS = 200
@@ -110,6 +110,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     equal id are taken by descending text digest; null ids come last; a single row is its own
     next one; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = _with_next(rows)
     rows = rows.select(

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: Ranges aimed at; also sets how many keys the sample holds (SAMPLES_A_RANGE for each).
 RANGES, SAMPLES_A_RANGE = 256, 16
@@ -90,6 +90,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     fully repeated rows are interchangeable; an empty table gives no rows; other columns are
     not read.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(id_col),
