@@ -16,7 +16,7 @@ SIZE, OVERLAP = 600, 60
 NOTHING = "(sem conteúdo)"
 
 
-def _step(size: int, overlap: int) -> int:
+def step(size: int, overlap: int) -> int:
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError(f"overlap has to be from 0 to below the size: {overlap}, {size}")
     return size - overlap
@@ -24,17 +24,17 @@ def _step(size: int, overlap: int) -> int:
 
 def spine(bounds: DataFrame, group: str, total: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(group, window_idx, window_start, window_end, label): windows that start before `total`."""
-    step = _step(size, overlap)
-    rows = bounds.where(F.col(total) > 0).select(group, F.posexplode(F.sequence(F.lit(0), F.col(total).cast("int") - 1, F.lit(step))).alias("window_idx", "window_start"))
+    stride = step(size, overlap)
+    rows = bounds.where(F.col(total) > 0).select(group, F.posexplode(F.sequence(F.lit(0), F.col(total).cast("int") - 1, F.lit(stride))).alias("window_idx", "window_start"))
     rows = rows.withColumn("window_end", F.col("window_start") + size)
     return rows.withColumn("label", F.concat(hms("window_start"), F.lit(" - "), hms("window_end")))
 
 
 def window_range(start: Column | str, end: Column | str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[Column, Column]:
     """First and last window that [start, end] meets, ends included; last < first: none."""
-    step = _step(size, overlap)
-    first = F.greatest(F.lit(0), F.ceil((col(start) - size) / step)).cast("int")
-    return first, F.floor(col(end) / step).cast("int")
+    stride = step(size, overlap)
+    first = F.greatest(F.lit(0), F.ceil((col(start) - size) / stride)).cast("int")
+    return first, F.floor(col(end) / stride).cast("int")
 
 
 def assign(rows: DataFrame, start: str, end: str, last: str | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
