@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .scalars import col, number, price_text, price_text_blank, repair_small, strip
 
 
+#: The first bracketed group, up to the next closing bracket.
+FIRST_BRACKETS = r"(?s)\[.*?\]"
+
+
 def strict_json(text: Column | str) -> Column:
     """VARIANT of a text that is one JSON value and nothing more, else null.
 
@@ -26,10 +30,15 @@ def kind(v: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("VOID"))
 
 
+def _kind(v: Column, k: Column | None) -> Column:
+    """k, where the caller has the type as a column already."""
+    return kind(v) if k is None else k
+
+
 def array_of(text: Column | str) -> Column:
     """The text as a JSON array, else its first bracketed group (up to the next ]) as one, else null."""
     t = strip(text)
-    whole, part = strict_json(t), strict_json(F.regexp_extract(t, r"(?s)\[.*?\]", 0))
+    whole, part = strict_json(t), strict_json(F.regexp_extract(t, FIRST_BRACKETS, 0))
     return F.coalesce(F.when(kind(whole) == "ARRAY", whole), F.when(kind(part) == "ARRAY", part))
 
 
@@ -56,9 +65,9 @@ def _numeric(k: Column) -> Column:
     return k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
-def lax_int(v: Column) -> Column:
+def lax_int(v: Column, k: Column | None = None) -> Column:
     """Whole numbers, also as text or booleans; null is invalid."""
-    k, n, s = kind(v), _as(v, "double"), strip(_as(v, "string"))
+    k, n, s = _kind(v, k), _as(v, "double"), strip(_as(v, "string"))
     text = F.when(s.rlike(r"^[+-]?[0-9]+(_[0-9]+)*(\.0*)?$"), F.regexp_replace(F.regexp_replace(s, r"\..*$", ""), "_", "").try_cast("bigint"))
     return (
         F.when(k == "BIGINT", _as(v, "bigint"))
@@ -68,14 +77,14 @@ def lax_int(v: Column) -> Column:
     )
 
 
-def lax_text(v: Column) -> Column:
+def lax_text(v: Column, k: Column | None = None) -> Column:
     """JSON strings as they are; null is invalid."""
-    return F.when(kind(v) == "STRING", _as(v, "string"))
+    return F.when(_kind(v, k) == "STRING", _as(v, "string"))
 
 
-def lax_bool(v: Column) -> Column:
+def lax_bool(v: Column, k: Column | None = None) -> Column:
     """Booleans, 0 and 1, and their usual words; null is invalid."""
-    k, n, s = kind(v), _as(v, "double"), F.lower(_as(v, "string"))
+    k, n, s = _kind(v, k), _as(v, "double"), F.lower(_as(v, "string"))
     return (
         F.when(k == "BOOLEAN", _as(v, "boolean"))
         .when(_numeric(k), F.when(n == 1, True).when(n == 0, False))
@@ -83,9 +92,9 @@ def lax_bool(v: Column) -> Column:
     )
 
 
-def lax_price(v: Column) -> Column:
+def lax_price(v: Column, k: Column | None = None) -> Column:
     """Prices: numbers (small ones repaired), Brazilian text, booleans as 0 and 1."""
-    k = kind(v)
+    k = _kind(v, k)
     return (
         F.when(_numeric(k), repair_small(_as(v, "double")))
         .when(k == "STRING", price_text(_as(v, "string")))
@@ -93,16 +102,16 @@ def lax_price(v: Column) -> Column:
     )
 
 
-def price_error(v: Column) -> Column:
+def price_error(v: Column, k: Column | None = None) -> Column:
     """Whether a price is there but can't be read."""
-    k = kind(v)
+    k = _kind(v, k)
     text = (k == "STRING") & ~price_text_blank(_as(v, "string")) & price_text(_as(v, "string")).isNull()
     return text | k.isin("ARRAY", "OBJECT")
 
 
-def truthy(v: Column) -> Column:
+def truthy(v: Column, k: Column | None = None) -> Column:
     """As a condition: false for null, false, zero, and empty text, lists and objects."""
-    k, s = kind(v), _as(v, "string")
+    k, s = _kind(v, k), _as(v, "string")
     return (
         F.when(k == "BOOLEAN", _as(v, "boolean"))
         .when(_numeric(k), _as(v, "double") != 0)

@@ -156,19 +156,22 @@ def evidence_packets(flagged: DataFrame, windows: DataFrame, size: int, overlap:
     return joined.select("video_id", "lot_number", packet.alias("packet"))
 
 
-def decode_verdict(response: Column, unit: Column) -> Column:
-    """struct(verdict, price): confirm, price or discard; null verdict for an unreadable response."""
-    v = J.object_of(response)
-    said, price = J.field(v, "correct_unit_price"), J.lax_price(J.field(v, "correct_unit_price"))
-    confirmed = F.coalesce(J.truthy(J.field(v, "confirmed")), F.lit(False))
+def with_verdicts(rows: DataFrame, response: str, unit: str) -> DataFrame:
+    """rows with `verdict` (confirm, price, discard; null for an unreadable response) and `verdict_price`."""
+    read = rows.withColumn("__v", J.object_of(response))
+    said = read.withColumns({"__yes": J.field(F.col("__v"), "confirmed"), "__said": J.field(F.col("__v"), "correct_unit_price")})
+    said = said.withColumns({"__ky": J.kind(F.col("__yes")), "__ks": J.kind(F.col("__said"))})
+    said = said.withColumns({"__confirmed": F.coalesce(J.truthy(F.col("__yes"), F.col("__ky")), F.lit(False)), "__price": J.lax_price(F.col("__said"), F.col("__ks"))})
+    price = F.col("__price")
     verdict = (
-        F.when(v.isNull(), None)
-        .when(confirmed, "confirm")
-        .when((J.kind(said) == "VOID") | price.isNull(), "discard")
-        .when(F.abs(price - unit) < 0.01, "confirm")
+        F.when(F.col("__v").isNull(), None)
+        .when(F.col("__confirmed"), "confirm")
+        .when((F.col("__ks") == "VOID") | price.isNull(), "discard")
+        .when(F.abs(price - F.col(unit)) < 0.01, "confirm")
         .otherwise("price")
     )
-    return F.struct(verdict.alias("verdict"), F.when(verdict == "price", price).alias("price"))
+    judged = said.withColumn("verdict", verdict).withColumn("verdict_price", F.when(F.col("verdict") == "price", price))
+    return judged.select(*rows.columns, "verdict", "verdict_price")
 
 
 def apply_verdicts(flagged: DataFrame, responses: DataFrame | None) -> DataFrame:
@@ -184,12 +187,12 @@ def apply_verdicts(flagged: DataFrame, responses: DataFrame | None) -> DataFrame
     rows = flagged.join(asked, ["video_id", "lot_number"], "left")
     # without a time of its own a lot has no window, and so no verdict
     heard = F.when(hms_seconds_strict("timestamp_start").isNotNull(), F.col("response"))
-    rows = rows.withColumn("v", decode_verdict(heard, F.col("unit_price")))
-    inside = (F.col("v.price") >= F.col("lo")) & (F.col("v.price") <= F.col("hi"))
-    keep = ~F.col("outlier") | F.coalesce(F.col("v.verdict") == "confirm", F.lit(False))
-    unit = F.when(keep, F.col("unit_price")).when((F.col("v.verdict") == "price") & inside, repair_small(F.col("v.price")))
+    rows = with_verdicts(rows.withColumn("response", heard), "response", "unit_price")
+    inside = (F.col("verdict_price") >= F.col("lo")) & (F.col("verdict_price") <= F.col("hi"))
+    keep = ~F.col("outlier") | F.coalesce(F.col("verdict") == "confirm", F.lit(False))
+    unit = F.when(keep, F.col("unit_price")).when((F.col("verdict") == "price") & inside, repair_small(F.col("verdict_price")))
     total = F.when(keep, F.col("total_price"))
-    rows = rows.withColumns({"unit_price": unit, "total_price": total}).drop("v", "response")
+    rows = rows.withColumns({"unit_price": unit, "total_price": total}).drop("verdict", "verdict_price", "response")
     return rows.withColumn("trusted", F.coalesce((F.col("unit_price") < F.col("lo")) | (F.col("unit_price") > F.col("hi")), F.lit(False)))
 
 

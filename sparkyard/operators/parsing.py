@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkyard.functions import jsons as J
-from sparkyard.functions.scalars import repair_small, singular_category
+from sparkyard.functions.scalars import repair_small, singular_category, strip
 
 #: Fields of a lot in order, and whether they have to be there.
 FIELDS = {
@@ -31,27 +31,38 @@ _READ = {
 }
 
 
-def _bad(name: str, v: Column) -> Column:
+def _bad(name: str, v: Column, k: Column) -> Column:
     if name in ("unit_price", "total_price"):
-        return J.price_error(v)
-    unread = _READ[name](v).isNull()
-    return unread if FIELDS[name] else unread & (J.kind(v) != "VOID")
+        return J.price_error(v, k)
+    unread = F.col(name).isNull() if name != "category" else J.lax_text(v, k).isNull()
+    return unread if FIELDS[name] else unread & (k != "VOID")
 
 
 def typed(rows: DataFrame, item: str) -> DataFrame:
-    """rows with the lot's fields read from the VARIANT column `item`, and `errors`: the fields that are invalid."""
-    item_ = F.col(item)
-    shaped = J.kind(item_) == "OBJECT"
-    columns = {n: _READ[n](J.field(item_, n)) for n in FIELDS}
-    columns["category"] = singular_category(columns["category"])
-    wrong = F.filter(F.array(*(F.when(_bad(n, J.field(item_, n)), F.lit(n)) for n in FIELDS)), lambda x: x.isNotNull())
-    return rows.withColumns({**columns, "errors": F.when(shaped, wrong).otherwise(F.array(F.lit("shape")))})
+    """rows with the lot's fields read from the VARIANT column `item`, and `errors`: the fields that are invalid.
+
+    Fields, their JSON types and their values are columns of their own projections, so that each is
+    worked out once.
+    """
+    v, k = (lambda n: F.col(f"__v_{n}")), (lambda n: F.col(f"__k_{n}"))
+    shaped = rows.withColumn("__shape", J.kind(F.col(item)))
+    fields = shaped.withColumns({f"__v_{n}": J.field(F.col(item), n) for n in FIELDS})
+    kinds = fields.withColumns({f"__k_{n}": J.kind(v(n)) for n in FIELDS})
+    read = {n: _READ[n](v(n), k(n)) for n in FIELDS}
+    read["category"] = singular_category(read["category"])
+    values = kinds.withColumns(read)
+    wrong = F.filter(F.array(*(F.when(_bad(n, v(n), k(n)), F.lit(n)) for n in FIELDS)), lambda x: x.isNotNull())
+    checked = values.withColumn("errors", F.when(F.col("__shape") == "OBJECT", wrong).otherwise(F.array(F.lit("shape"))))
+    return checked.select(*rows.columns, *FIELDS, "errors")
 
 
 def response_items(responses: DataFrame, text: str = "response") -> DataFrame:
     """responses without the text, with pos and item (VARIANT) for each element of its JSON array."""
-    listed = responses.withColumn("__array", J.array_of(text))
-    return listed.select(*(c for c in responses.columns if c != text), F.posexplode(J.items(F.col("__array"))).alias("pos", "item"))
+    kept = [c for c in responses.columns if c != text]
+    parsed = responses.withColumn("__t", strip(text)).withColumns({"__whole": J.strict_json("__t"), "__part": J.strict_json(F.regexp_extract("__t", J.FIRST_BRACKETS, 0))})
+    kinds = parsed.withColumns({"__kw": J.kind(F.col("__whole")), "__kp": J.kind(F.col("__part"))})
+    listed = kinds.withColumn("__array", F.when(F.col("__kw") == "ARRAY", F.col("__whole")).when(F.col("__kp") == "ARRAY", F.col("__part")))
+    return listed.select(*kept, F.posexplode(J.items(F.col("__array"))).alias("pos", "item"))
 
 
 def read_lots(responses: DataFrame, text: str = "response") -> DataFrame:

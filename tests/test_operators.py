@@ -186,8 +186,8 @@ def test_burst_guard_against_sequence(spark):
 )
 def test_verdicts(spark, response, want):
     df = frame(spark, [(response, 9000.0)], "r string, u double")
-    v = df.select(lots.decode_verdict(F.col("r"), F.col("u")).alias("v")).first().v
-    assert (v.verdict, v.price) == want
+    v = lots.with_verdicts(df, "r", "u").first()
+    assert (v.verdict, v.verdict_price) == want
 
 
 def test_apply_verdicts_and_settle(spark):
