@@ -329,11 +329,11 @@ def hms_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seconds(spark, sf_dir).select("event_id", S.hms("s").alias("ts"))
 
 
-@_query(f"SELECT event_id, {_AT}::BIGINT AS strict, CASE WHEN event_id % 2 = 0 THEN {_AT}::BIGINT END AS checked, {_AT} + 0.5 AS comma, {_AT} + 0.25 AS progress FROM events")
+@_query(f"SELECT event_id, {_AT}::BIGINT AS strict, CASE WHEN event_id % 2 = 0 THEN {_AT} END AS checked, {_AT} + 0.5 AS comma, {_AT} + 0.25 AS progress FROM events")
 def hms_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _seconds(spark, sf_dir).withColumn("ts", S.hms("s"))
     odd = F.when(F.col("event_id") % 2 == 0, F.col("ts")).otherwise(F.concat("ts", F.lit(":00")))
-    return e.select("event_id", S.hms_seconds("ts").alias("strict"), S.hms_seconds_strict(odd).alias("checked"), S.comma_seconds(F.concat("ts", F.lit(",500"))).alias("comma"), S.progress_seconds(F.concat("ts", F.lit(".25"))).alias("progress"))
+    return e.select("event_id", S.hms_seconds("ts").alias("strict"), S.hms_seconds_strict(odd).cast("double").alias("checked"), S.comma_seconds(F.concat("ts", F.lit(",500"))).alias("comma"), S.progress_seconds(F.concat("ts", F.lit(".25"))).alias("progress"))
 
 
 @_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
