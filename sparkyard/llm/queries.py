@@ -72,5 +72,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op9_decontamination, op10_quality)}
 
 
+#: Words by the contract's pattern; a window's source is the smallest id that it starts in.
+_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+k AS (SELECT r, doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS least FROM k GROUP BY g),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM k JOIN m USING (g) WHERE least < doc_id),
+x AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return {"op4_substrings": _SUBSTRINGS}

@@ -23,7 +23,7 @@ from .common import checkpointed, small_batches
 #: Ranges aimed at; also sets how many keys the sample holds (SAMPLES_A_RANGE for each).
 RANGES, SAMPLES_A_RANGE = 256, 16
 #: A record of over 1 / LARGE of a shard is spread first: at most shards * LARGE records.
-LARGE = 64
+LARGE = 256
 #: A range of over OVERFULL times its share is subdivided, up to DEPTH times.
 OVERFULL, DEPTH = 1.5, 4
 
