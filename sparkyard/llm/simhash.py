@@ -37,18 +37,19 @@ def shingles(text: str, width: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)]
 
 
+def packed_majority(h: np.ndarray) -> int:
+    """64 bits; each is 1 if it is set in over half of h (little-endian uint64); none: 0."""
+    lanes = h.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(lanes[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int) -> int:
-    """64 bits; each is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+    """The majority bits of the XXH64 (seed 42) of the text's shingles."""
     import xxhash
 
-    grams = shingles(text, width)
-    if not grams:
-        return 0
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, 42) for g in grams], dtype="<u8")
-    lanes = h.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(lanes[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")[0])
+    return packed_majority(np.array([digest(g, 42) for g in shingles(text, width)], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -87,27 +88,24 @@ def stars(rows: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]
     return np.concatenate([none, *member]), np.concatenate([none, *root])
 
 
-def bucket_search(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int | None = None) -> Callable:
+def bucket_search(near: Callable[[np.ndarray, np.ndarray], np.ndarray], content: Callable[[pa.Array], np.ndarray], pairwise: bool = True) -> Callable:
     """Arrow function from rows (bucket in 3 columns, node, content) sorted by bucket to links (a, b).
 
-    Content is a long, or `width` bytes. A bucket may run over several batches.
+    content makes an array of a column; near takes two arrays of pairs as well, if pairwise. A
+    bucket may run over several batches.
     """
 
-    def content(column: pa.Array) -> np.ndarray:
-        if width is None:
-            return column.to_numpy().view(np.uint64)
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-
     def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         new = np.ones(len(rows[0]), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(new)))
         node, data = rows[3], rows[4]
-        two = starts[sizes == 2]
+        two = starts[(sizes == 2) & pairwise]
         close = near(data[two], data[two + 1]) if len(two) else np.empty(0, bool)
         found = [(node[two][close], node[two + 1][close])]
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        many = sizes > (2 if pairwise else 1)
+        for s, n in zip(starts[many], sizes[many], strict=True):
             member, root = stars(data[s : s + n], near)
             found.append((node[s + member], node[s + root]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -137,6 +135,10 @@ def bucket_search(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: i
     return run
 
 
+def longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
 def in_tiles(keyed: DataFrame, tile: int) -> DataFrame:
     """(key, t, u, node) of the buckets with several nodes; a bucket above `tile` in pairs of tiles."""
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -146,11 +148,11 @@ def in_tiles(keyed: DataFrame, tile: int) -> DataFrame:
     return met.select("key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "node")
 
 
-def searched(met: DataFrame, near: Callable, width: int | None = None) -> DataFrame:
+def searched(met: DataFrame, near: Callable, content: Callable[[pa.Array], np.ndarray] = longs, pairwise: bool = True) -> DataFrame:
     """Links in rows (key, t, u, node, content)."""
     small_batches(met.sparkSession)
     met = met.select("key", "t", "u", "node", "content").repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
-    return met.mapInArrow(bucket_search(near, width), "a bigint, b bigint")
+    return met.mapInArrow(bucket_search(near, content, pairwise), "a bigint, b bigint")
 
 
 def tables(fp: Column, distance: int) -> Column:
