@@ -1,7 +1,7 @@
 """Byte-level BPE by overlapping chunks, and decoding by joining raw bytes.
 
-A pre-token starts where the one before ends, and its end depends on no more than the next
-character. So a chunk that starts anywhere finds the text's true boundaries from the first
+A pre-token starts where the one before ends, and its end depends on no more than the next few
+characters. So a chunk that starts anywhere finds the text's true boundaries from the first
 boundary that it shares with them. Chunks overlap; each is pre-tokenised by itself; the
 boundaries are stitched where neighbours agree, or, if an overlap holds no common boundary
 (one very long pre-token), by carrying on from the last sure one. The text is then cut into
@@ -22,6 +22,8 @@ from .common import fields, map_texts
 
 CHUNK = 1 << 15
 OVERLAP = 512
+#: Characters behind a pre-token on which its end may depend: contractions have up to three.
+LOOK = 4
 
 
 @lru_cache(maxsize=4)
@@ -41,15 +43,15 @@ def load(path: str, pattern: str):
 def _pattern(pattern: str):
     import regex
 
-    return regex.compile(pattern)
+    # the library's white space is the Unicode property
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 def sure_ends(text: str, start: int, stop: int, pattern: str) -> list[int]:
     """Ends of the pre-tokens of text[start:stop], read from start, that what follows can't move."""
     ends = [m.end() for m in _pattern(pattern).finditer(text, start, stop)]
     if stop < len(text):
-        # the last one may go on; one that a white-space look-ahead ended does not
-        while ends and ends[-1] >= stop:
+        while ends and ends[-1] > stop - LOOK:
             ends.pop()
     return ends
 
@@ -80,7 +82,10 @@ def pieces(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP)
         return [text]
     cuts = [0]
     for e in stitched(text, pattern, chunk, overlap):
-        if e - cuts[-1] >= chunk:
+        far = e - cuts[-1]
+        # behind white space a cut would move what a look-ahead leaves over; before white space any
+        # version of the character tables has a boundary
+        if far >= chunk and not text[e - 1].isspace() and (far >= 4 * chunk or text[e : e + 1] in (" ", "\n")):
             cuts.append(e)
     if cuts[-1] != len(text):
         cuts.append(len(text))
