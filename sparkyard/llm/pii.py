@@ -129,17 +129,30 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 _WIDE = re.compile(r"[+(]{0,2}[0-9][0-9\x20().+\-/ ‐-–]{5,}[0-9]")
 _PIECES = re.compile(r"[0-9]+")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[({]?\s?(?:@|\bat\b)\s?[\])}]?\s?[A-Za-z0-9-]+(?:\s?[\[({]?\s?(?:\.|\bdot\b)\s?[\])}]?\s?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_AT = r"(?:\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s+at\s+|\s?@\s?)"
+_DOT = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\.)"
+_SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SPELLED_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s", re.IGNORECASE)
 #: Groups of digits that one candidate takes together at most.
 _TOGETHER = 8
 
 
+def _spelled_zones(text: str) -> Iterator[Span]:
+    """Stretches around at signs and the word at, with a dot behind them."""
+    end = 0
+    marks = ([m.start() for m in _SPELLED_AT.finditer(text)] if "dot" in text or "DOT" in text or "Dot" in text or "(at" in text or "[at" in text else []) + [m.start() for m in re.finditer("@", text)]
+    for at in sorted(marks):
+        a, b = max(end, at - 80), min(len(text), at + 120)
+        if a < b and at >= end:
+            yield a, b
+            end = b
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Overlapping (kind, start, end) that might be personal data."""
-    if "@" in text or " dot " in text.lower() or "[at]" in text.lower():
-        for m in _SPELLED.finditer(text):
-            if "@" in m[0] or "dot" in m[0].lower():
-                yield "email", *m.span()
+    for m in _spelled_zones(text):
+        for x in _SPELLED.finditer(text, *m):
+            yield "email", *x.span()
     for zone in _WIDE.finditer(text):
         groups = [m.span() for m in _PIECES.finditer(text, *zone.span())]
         for i, (a, _) in enumerate(groups):
