@@ -12,7 +12,7 @@ from sparkyard.functions.scalars import clip, strip, video_id
 from sparkyard.operators.parsing import lots_of_text
 
 #: Id in the file names of stage documents, as transcript_<id>.json.
-_ID = r"_([^/]+)\.json$"
+_ID = r"(?:^|/)(?:video_info|transcript|screenshots|ocr_results|lots|metadata|result)_([^/]+)\.json$"
 
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -47,6 +47,23 @@ def write_by_model(rows: DataFrame, path: str, model: str = "model") -> None:
     rows.withColumn("model_dir", model_folder(model)).write.mode("overwrite").partitionBy("model_dir").json(path)
 
 
+def write_report(report: DataFrame, text: DataFrame, path: str) -> None:
+    """A batch report (one row each) as JSON and as markdown."""
+    report.select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/batch_summary")
+    text.select("value").coalesce(1).write.mode("overwrite").text(f"{path}/comparison")
+
+
+def metadata_document(rows: DataFrame, fields: Sequence[str], name: str = "value") -> DataFrame:
+    """(video_id, value): known facts as a JSON object; {} where nothing is known."""
+    return rows.select("video_id", F.to_json(F.struct(*fields)).alias(name))
+
+
+def append_run(runs: DataFrame, path: str) -> None:
+    """Rows of a run table; errors are cut at 400 characters."""
+    short = runs.withColumn("error", F.left("error", F.lit(400))) if "error" in runs.columns else runs
+    short.write.mode("append").parquet(path)
+
+
 def fingerprint(**parameters: object) -> Column:
     """Digest of what a stage's result depends on beside its input."""
     text = "\n".join(f"{k}={v!r}" for k, v in sorted(parameters.items()))

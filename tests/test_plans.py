@@ -210,3 +210,30 @@ def test_streaming_windows(spark, tmp_path):
     lots = spark.createDataFrame([("v", 0, 5.0, True), ("v", 60, 0.0, None)], "video_id string, s int, unit_price double, sold boolean").withColumn("at", F.timestamp_seconds("s"))
     r = streaming.running_prices(lots).first()
     assert (r.lots, r.avg_price, r.sold) == (2, 5.0, 1)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkyard.plans.__main__ import main
+
+    folder, out = tmp_path / "docs", tmp_path / "out"
+    folder.mkdir()
+    (folder / "transcript_a.json").write_text('[{"start": 0, "end": 1.5, "text": "olá"}]')
+    (folder / "ocr_results_a.json").write_text('{"00:00:01": ["LOTE", "Boa Vista", "VALORPORANIMAL", "04", "R$", "3.100", "26BEZERRAS-08M-NELORE"]}')
+    assert main(["extract", str(folder), str(out)]) == 0
+    got = spark.read.parquet(f"{out}/lots").first()
+    assert (got.video_id, got.lot_number, got.total_price) == ("a", 4, 80600.0)
+    assert main(["extract", str(folder), str(out)]) == 0
+    (folder / "lots_a.json").write_text(json.dumps([lot(1, 3000.0), lot(2, 4000.0)]))
+    (folder / "metadata_a.json").write_text('{"farm": "Santa Rita"}')
+    assert main(["batch", str(folder), str(out / "b"), "https://youtu.be/a"]) == 0
+    assert main(["batch", str(folder), str(out / "b"), "https://youtu.be/a", "https://youtu.be/z"]) == 1
+    report = json.loads(spark.read.text(f"{out}/b/batch_summary").first()[0])
+    assert report["totals"]["failed"] == 1 and report["items"][0]["auction_name"] == "Santa Rita"
+    assert main(["batch", str(folder), str(out / "b")]) == 2
+    assert main(["evaluate", str(folder), str(out / "e"), str(folder)]) == 0
+    assert spark.read.json(f"{out}/e/evaluation").first().coverage == 1.0
+    assert writers.metadata_document(spark.createDataFrame([("a", None)], "video_id string, city string"), ["city"]).first().value == "{}"
+    runs = spark.createDataFrame([("a", "m", "x" * 900)], "video_id string, model string, error string")
+    writers.append_run(runs, f"{out}/runs")
+    writers.append_run(runs, f"{out}/runs")
+    assert [len(r.error) for r in spark.read.parquet(f"{out}/runs").collect()] == [400, 400]
