@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +27,22 @@ def small_batches(spark: SparkSession) -> None:
     The Parquet reader's default of 4096 rows makes arrays of tens of megabytes for columns of
     documents, which fragment an executor's heap; batches for Python are bounded by bytes too.
     """
+    _ship(spark)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers where neither PYTHONPATH nor the folder gives it to them."""
+    root, sc = Path(__file__).parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or root.name == "site-packages" or getattr(sc, "_sparkyard_shipped", False):
+        return
+    with_code = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sparkyard-')}/sparkyard", "zip", root, "sparkyard")
+    sc.addPyFile(with_code)
+    sc._sparkyard_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, in a place of this session's own.
 

@@ -7,6 +7,7 @@ document labels alone, and then name the sentences that carry the blame.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,22 +99,30 @@ def _vocabulary(vocab: list[bytes], doc_words: np.ndarray, fit: np.ndarray, leas
 
     doc_words: distinct text * len(vocab) + word.
     """
+    docs, words = np.divmod(doc_words, max(len(vocab), 1))
+    uses = np.bincount(words[fit[docs]], minlength=len(vocab))
     place: dict[bytes, int] = {}
-    rows, cols = [], []
+    rows, cols = array("q"), array("q")
     for i, word in enumerate(vocab):
-        for f in word_features(word):
+        # a word that too few texts hold is no feature, though its beginnings may be
+        for f in word_features(word)[int(uses[i] < least_docs) :]:
             rows.append(i)
             cols.append(place.setdefault(f, len(place)))
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    docs, words = np.divmod(doc_words, max(len(vocab), 1))
-    uses = np.bincount(words[fit[docs]], minlength=len(vocab))
+    rows, cols = np.frombuffer(rows, np.int64), np.frombuffer(cols, np.int64)
     often = np.bincount(cols, weights=uses[rows], minlength=len(place)) >= least_docs
     rows, cols = rows[often[cols]], cols[often[cols]]
-    first = np.searchsorted(rows, words)
-    many = np.searchsorted(rows, words, side="right") - first
-    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-    pairs = np.unique(np.repeat(docs, many) * len(place) + cols[at])
-    known = np.bincount(pairs[fit[pairs // max(len(place), 1)]] % max(len(place), 1), minlength=len(place)) >= least_docs
+    # texts that hold each feature, a few hundred texts at a time
+    first = np.searchsorted(rows, np.arange(len(vocab)))
+    many = np.searchsorted(rows, np.arange(len(vocab)), side="right") - first
+    held = np.zeros(len(place), np.int64)
+    for a in range(0, len(fit), 250):
+        own = slice(*np.searchsorted(docs, [a, a + 250]))
+        d, w = docs[own][fit[docs[own]]], words[own][fit[docs[own]]]
+        n = many[w]
+        at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(d, n) * len(place) + cols[at])
+        held += np.bincount(pairs % max(len(place), 1), minlength=len(place))
+    known = held >= least_docs
     names = list(place)
     keep = np.flatnonzero(known)
     new = np.full(len(place), -1)
