@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cuts_below(key: Column, cuts: list, literal: Callable[[object], Column]) -> Column:
+    """How many of the ascending cuts are at or below key: a coarse look, then a fine one, so the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    coarse = below(F.array(*(literal(g[0]) for g in groups)))
+    fine = F.array(*(F.array(*map(literal, g)) for g in groups))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+
+
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [start, end) of texts, each of about limit characters or a single text."""
     start = held = 0

@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, cuts_below, small_batches
 
-#: Buckets of neighbouring ids in which the next document is looked up.
-BUCKETS = 200
+#: Buckets of neighbouring ids in which the next document is looked up: at least, and one more for
+#: so many rows, up to MOST_BUCKETS.
+BUCKETS, ROWS_A_BUCKET, MOST_BUCKETS = 200, 50_000, 20_000
 _LARGEST = (1 << 63) - 1
 
 
@@ -50,10 +51,10 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """
     order_id = F.coalesce(F.col("id"), F.lit(-(1 << 63)))  # null: after all others
     docs = docs.select("*", order_id.alias("o"))
-    cuts = docs.select("o").agg(F.percentile_approx("o", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0]
+    wanted = min(MOST_BUCKETS, max(BUCKETS, docs.count() // ROWS_A_BUCKET))
+    cuts = docs.select("o").agg(F.percentile_approx("o", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0]
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*(F.lit(c).cast("bigint") for c in cuts))
-    bucket = F.size(F.filter(bounds, lambda x: x <= F.col("o")))
+    bucket = cuts_below(F.col("o"), cuts, lambda c: F.lit(c).cast("bigint"))
     tops = dict(docs.select(bucket.alias("b"), "o").groupBy("b").agg(F.max("o")).collect())  # a row a bucket
     if not tops:
         return docs.select("*", F.lit("").alias("after"), F.lit(0).alias("b"))

@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, cuts_below, small_batches
 
-#: Ranges aimed at; also sets how many keys the sample holds (SAMPLES_A_RANGE for each).
-RANGES, SAMPLES_A_RANGE = 256, 16
+#: Ranges aimed at, at least, and one more for so many rows, up to MOST_RANGES; keys sampled for each.
+RANGES, ROWS_A_RANGE, MOST_RANGES, SAMPLES_A_RANGE = 256, 500_000, 4096, 16
 #: A record of over 1 / LARGE of a shard is spread first: at most shards * LARGE records.
 LARGE = 256
 #: A range of over OVERFULL times its share is subdivided, up to DEPTH times.
@@ -47,24 +47,17 @@ def _quantiles(keys: Sequence[tuple], parts: int, step: float) -> list[tuple[int
 
 
 def _range(splitters: list[tuple[int, int]]) -> Column:
-    """Number of splitters at or below the key, by a coarse and then a fine look."""
-    if not splitters:
-        return F.lit(0)
-    width = max(1, round(len(splitters) ** 0.5))
-    key = F.struct("h", "id")
+    """Number of splitters at or below the key."""
     as_key = lambda s: F.struct(F.lit(s[0]).cast("bigint").alias("h"), F.lit(s[1]).cast("bigint").alias("id"))
-    groups = [splitters[i : i + width] for i in range(0, len(splitters), width)]
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    coarse = below(F.array(*(as_key(g[0]) for g in groups)))
-    fine = F.array(*(F.array(*map(as_key, g)) for g in groups))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
-
-
-def _splitters(rows: DataFrame, total: int) -> list[tuple[int, int]]:
-    """Boundaries of ranges of about total / RANGES bytes, overfull ranges subdivided."""
-    wanted = RANGES * SAMPLES_A_RANGE
-    splitters = _quantiles(_sample(rows, wanted, total, 1), RANGES, total / wanted)
-    share = total / RANGES
+    return cuts_below(F.struct("h", "id"), splitters, as_key)
+
+
+def _splitters(rows: DataFrame, total: int, count: int) -> list[tuple[int, int]]:
+    """Boundaries of ranges of about equal bytes, overfull ranges subdivided."""
+    ranges = min(MOST_RANGES, max(RANGES, count // ROWS_A_RANGE))
+    wanted = ranges * SAMPLES_A_RANGE
+    splitters = _quantiles(_sample(rows, wanted, total, 1), ranges, total / wanted)
+    share = total / ranges
     for depth in range(1, DEPTH):
         sizes = {r.r: r.s for r in rows.groupBy(_range(splitters).alias("r")).agg(F.sum("size").alias("s")).collect()}
         over = {r: s for r, s in sizes.items() if s > OVERFULL * share}
@@ -121,7 +114,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         run += x * scale
         ends.append(run)
     small = rows.where(F.col("size") <= cut)
-    splitters = _splitters(small, small_total) if small_total else []
+    splitters = _splitters(small, small_total, count) if small_total else []
     ranged = small.withColumn("r", _range(splitters))
     before_b, before_n, b, n = {}, {}, 0, 0
     for r in sorted(ranged.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect(), key=lambda x: x.r):
