@@ -91,23 +91,23 @@ def fences(rows: DataFrame, group: Sequence[str], value: str, k: float = FENCE,
 
 
 def fences_of_large_groups(rows: DataFrame, group: Sequence[str], value: str, k: float = FENCE, least: int = 5) -> DataFrame:
-    """As `fences`, for groups of any size: no array, and no task that holds a group.
+    """As `fences`, for groups of any size: no array, no task that holds a group, no shuffle of all rows.
 
-    Distinct values are counted (copies meet in the partial aggregation), cut into buckets by
-    approximate quantiles, and bucket totals say which bucket and rank each quartile's two
-    neighbours have; only those buckets' counts are ranked.
+    Approximate quantiles just below and above each quartile cut a group into five buckets. Counts of
+    the buckets (a partial aggregation) say which bucket and rank the two neighbours of each quartile
+    have; only the rows of those buckets, a few in ten thousand, are counted by value and ranked. If
+    an approximation is off, a neighbour is in another bucket, and found there.
     """
     keys = [F.col(c) for c in group]
-    counts = rows.where(F.col(value) > 0).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("cuts"), F.sum("c").alias("n"))
-    placed = counts.join(cuts, list(group)).withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
-    totals = placed.groupBy(*keys, "b").agg(F.sum("c").alias("t"))
-    before = totals.withColumn("before", F.sum("t").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).drop("t")
-    joined = placed.join(before, [*group, "b"])
+    given = rows.where(F.col(value) > 0).select(*keys, F.col(value).alias("v"))
+    cuts = given.groupBy(*keys).agg(F.percentile_approx("v", [0.2497, 0.2503, 0.7497, 0.7503], 10_000).alias("cuts"), F.count("*").alias("n"))
+    placed = given.join(cuts, list(group)).withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
     # 0-based ranks wanted: p // 4 - 1 and p // 4 for p = i * (n + 1)
     wanted = F.array(*(F.floor(F.lit(i) * (F.col("n") + 1) / 4) + s for i in (1, 3) for s in (-1, 0)))
-    start, end = F.coalesce("before", F.lit(0)), F.coalesce("before", F.lit(0)) + F.sum("c").over(Window.partitionBy(*keys, "b"))
-    near = joined.withColumns({"w": wanted, "s": start, "e": end}).where(F.exists("w", lambda x: (x >= F.col("s")) & (x < F.col("e"))))
+    totals = placed.groupBy(*keys, "b", "n").agg(F.count("*").alias("t"))
+    ends = totals.withColumn("e", F.sum("t").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
+    buckets = ends.withColumns({"s": F.col("e") - F.col("t"), "w": wanted}).where(F.exists("w", lambda x: (x >= F.col("s")) & (x < F.col("e"))))
+    near = placed.drop("n", "cuts").join(buckets.drop("t", "e"), [*group, "b"]).groupBy(*keys, "b", "n", "s", "w", "v").agg(F.count("*").alias("c"))
     run = Window.partitionBy(*keys, "b").orderBy("v")
     upto = F.col("s") + F.sum("c").over(run)
     ranked = near.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("c"))
