@@ -45,3 +45,17 @@ def test_queries_match_their_sql(spark, name):
     order = sorted(got.columns)
     plain = lambda rows: sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert plain(map(tuple, got.select(*order).collect())) == plain(want.select(*(f'"{c}"' for c in order)).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_engine_plans_stay_in_the_jvm(spark):
+    """No Python in any plan of the engine's operators, no range joins, columns pruned at the scan."""
+    from sparkyard.plans import registry
+
+    for name, query in registry.queries().items():
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "MapInArrow")), name
+        if name != "run_grid":  # two lists of names
+            assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+    plan = registry.queries()["tukey_bounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in plan and "GreaterThan(l_extendedprice" in plan
