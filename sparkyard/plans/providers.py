@@ -69,43 +69,48 @@ def with_retries(call: Callable[[str], str], retries: int = 3, first_wait: float
 class Called:
     """Answers by a function from prompt to text, one call a row; an error becomes a row's error.
 
-    A window's answer depends on that window alone, so windows run in parallel; see `sequential`
-    for prompts that list the lots found so far.
+    The function returns the text, or the text and the tokens read and written. A window's answer
+    depends on that window alone, so windows run in parallel; see `sequential` for prompts that
+    list the lots found so far.
     """
 
-    complete: Callable[[str], str]
+    complete: Callable[[str], str | tuple[str, int, int]]
     extraction_prompt: str = ""
     verify_prompt: str | None = None
 
     def _asked(self, rows: DataFrame, keys: list[str], prompt: str, body: str) -> DataFrame:
         complete = with_retries(self.complete)
 
+        def answer(text: str) -> tuple:
+            try:
+                said = complete(f"{prompt}\n\n{text}")
+            except Exception as e:
+                return None, None, None, str(e)[:400]
+            return (*said, None) if isinstance(said, tuple) else (said, None, None, None)
+
         def run(batches: Iterator) -> Iterator:
             for pdf in batches:
-                answers, errors = [], []
-                for text in pdf[body]:
-                    try:
-                        answers.append(complete(f"{prompt}\n\n{text}"))
-                        errors.append(None)
-                    except Exception as e:
-                        answers.append(None)
-                        errors.append(str(e)[:400])
-                yield pdf[keys].assign(response=answers, error=errors)
+                out = [answer(t) for t in pdf[body]]
+                names = ("response", "input_tokens", "output_tokens", "error")
+                yield pdf[keys].assign(**{n: pd_column(c, n) for n, c in zip(names, zip(*out, strict=True), strict=True)})
+
+        def pd_column(values: tuple, name: str):
+            import pandas as pd
+
+            return pd.Series(values, dtype="Int64" if name.endswith("tokens") else "object").values
 
         kept = rows.select(*keys, body)
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-        return kept.mapInPandas(run, f"{types}, response string, error string")
+        return kept.mapInPandas(run, f"{types}, response string, input_tokens bigint, output_tokens bigint, error string")
 
     def extract(self, windows: DataFrame) -> DataFrame:
         text = windows.withColumn("body", F.concat(F.lit("["), "label", F.lit("]\n"), "combined_text"))
-        # four characters to a token, where the answer doesn't say
-        asked = self._asked(text, ["video_id", "window_idx"], self.extraction_prompt, "body")
-        return asked.withColumns({"input_tokens": F.lit(None).cast("bigint"), "output_tokens": F.ceil(F.length("response") / 4)})
+        return self._asked(text, ["video_id", "window_idx"], self.extraction_prompt, "body")
 
     def verify(self, packets: DataFrame) -> DataFrame | None:
         if self.verify_prompt is None:
             return None
-        return self._asked(packets, ["video_id", "lot_number"], self.verify_prompt, "packet").drop("error")
+        return self._asked(packets, ["video_id", "lot_number"], self.verify_prompt, "packet").select("video_id", "lot_number", "response")
 
 
 def sequential(windows: DataFrame, ask: Callable[[str, list[int]], str], found_in: Callable[[str], list[int]]) -> DataFrame:

@@ -66,6 +66,11 @@ def test_providers(spark, evidence):
     rows = providers.Called(answer).extract(evidence).collect()
     assert {(r.video_id, r.window_idx, r.error) for r in rows} == {("v", 0, None), ("v", 1, None), ("v", 2, "boom"), ("u", 0, None)}
     assert auctions.extract(evidence, providers.Called(answer)).count() == 2
+    counted = providers.Called(lambda p: ("[]", 7, 2), verify_prompt="v")
+    used = summaries.usage(counted.extract(evidence), ["video_id"]).orderBy("video_id").collect()
+    assert [tuple(r) for r in used] == [("u", 1, 7, 2), ("v", 3, 21, 6)]
+    packets = spark.createDataFrame([("v", 1, "text")], "video_id string, lot_number bigint, packet string")
+    assert tuple(counted.verify(packets).first()) == ("v", 1, "[]")
     told = providers.sequential(evidence, lambda text, prior: json.dumps(prior + [len(prior)]), json.loads).orderBy("video_id", "window_idx").collect()
     assert [r.response for r in told] == ["[0]", "[0]", "[0, 1]", "[0, 1, 2]"]
     shown = spark.createDataFrame([("w", 0, 0, 600, "L", "[00:00:01] TELA: LOTE | Boa Vista | VALORPORANIMAL | 04 | R$ | 3.100 | 26BEZERRAS-08M-NELORE")], schemas.WINDOWS)
