@@ -90,6 +90,8 @@ class Called:
 
         def run(batches: Iterator) -> Iterator:
             for pdf in batches:
+                if pdf.empty:
+                    continue
                 out = [answer(t) for t in pdf[body]]
                 names = ("response", "input_tokens", "output_tokens", "error")
                 yield pdf[keys].assign(**{n: pd_column(c, n) for n, c in zip(names, zip(*out, strict=True), strict=True)})
