@@ -19,11 +19,9 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None) -> Callable[[Query], Query]:
+def _query(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
         return f
 
     return add
@@ -157,16 +155,23 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_returnflag", "l_linestatus", n.alias("n"), F.when(F.col("l_suppkey") % 11 == 0, None).otherwise(unit).alias("u"), F.when(F.col("l_suppkey") % 13 == 0, None).otherwise(total).alias("t"))
 
 
-_PRICED = """b AS (SELECT *, l_quantity::BIGINT % 7 AS n, round(l_extendedprice / l_quantity, 2) AS u0 FROM lineitem),
+_BASE = """b AS (SELECT *, l_quantity::BIGINT % 7 AS n, round(l_extendedprice / l_quantity, 2) AS u0 FROM lineitem),
     p AS (SELECT l_returnflag, l_linestatus, n, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE u0 END AS u,
-      CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE round(u0 * n * CASE WHEN l_partkey % 5 = 0 THEN 0.5::DOUBLE WHEN l_partkey % 5 = 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 2) END AS t FROM b),
-    s1 AS (SELECT * REPLACE (CASE WHEN u < 1000 OR u > 1900 THEN NULL ELSE u END AS u) FROM p),
+      CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE round(u0 * n * CASE WHEN l_partkey % 5 = 0 THEN 0.5::DOUBLE WHEN l_partkey % 5 = 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 2) END AS t FROM b)"""
+
+
+def _steps(lo: str, hi: str, source: str = "p") -> str:
+    """The invariants one after the other, within lo and hi, and prices read again."""
+    return f"""s1 AS (SELECT * REPLACE (CASE WHEN u < {lo} OR u > {hi} THEN NULL ELSE u END AS u) FROM {source}),
     s2 AS (SELECT * REPLACE (CASE WHEN u IS NOT NULL AND t IS NOT NULL AND n > 0 AND greatest(u * n, t) > 0 AND abs(u * n - t) / greatest(u * n, t) > 0.2 THEN NULL ELSE t END AS t) FROM s1),
-    s3 AS (SELECT l_returnflag, l_linestatus, n, CASE WHEN u > t THEN NULL ELSE u END AS u, CASE WHEN u > t THEN NULL ELSE t END AS t FROM s2),
-    s4 AS (SELECT * REPLACE (CASE WHEN u IS NULL AND t IS NOT NULL AND n > 0 AND (t / n < 1000 OR t / n > 1900) THEN NULL ELSE t END AS t) FROM s3),
+    s3 AS (SELECT * REPLACE (CASE WHEN u > t THEN NULL ELSE u END AS u, CASE WHEN u > t THEN NULL ELSE t END AS t) FROM s2),
+    s4 AS (SELECT * REPLACE (CASE WHEN u IS NULL AND t IS NOT NULL AND n > 0 AND (t / n < {lo} OR t / n > {hi}) THEN NULL ELSE t END AS t) FROM s3),
     s5 AS (SELECT * REPLACE (CASE WHEN u > 0 AND u < 100 THEN u * 1000 ELSE u END AS u, CASE WHEN t > 0 AND t < 100 THEN t * 1000 ELSE t END AS t) FROM s4)"""
 
 
+_PRICED = f"{_BASE}, {_steps('1000', '1900')}"
+
+
 @_query(f"WITH {_PRICED} SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, count(u)::BIGINT AS with_unit, count(t)::BIGINT AS with_total, round(sum(u), 0) AS sum_unit, round(sum(t), 0) AS sum_total FROM s5 GROUP BY 1, 2")
 def sanity_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = lots.repair(_priced(spark, sf_dir).withColumns({"lo": F.lit(1000.0), "hi": F.lit(1900.0)}), "u", "t", "n", "lo", "hi")
@@ -526,6 +531,14 @@ def last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.last_by_key(li, ["l_orderkey", "l_linenumber"], "order").drop("order")
 
 
+@_query(
+    f"""WITH {_BASE}, d AS (SELECT l_returnflag AS g, list_sort(list(u)) AS d, count(*) AS k FROM p WHERE u > 0 GROUP BY 1),
+    q AS (SELECT g, (d[(k+1)//4]*(4-(k+1)%4) + d[(k+1)//4+1]*((k+1)%4))/4 AS q1, (d[3*(k+1)//4]*(4-3*(k+1)%4) + d[3*(k+1)//4+1]*(3*(k+1)%4))/4 AS q3 FROM d),
+    f AS (SELECT p.*, greatest(0, q1 - 1.5*(q3-q1)) AS lo, q3 + 1.5*(q3-q1) AS hi, u < greatest(0, q1 - 1.5*(q3-q1)) OR u > q3 + 1.5*(q3-q1) AS outlier FROM p JOIN q ON g = l_returnflag),
+    {_steps("lo", "hi", "f")}
+    SELECT l_returnflag, count(*)::BIGINT AS total_lots, sum(n)::BIGINT AS total_animals, round(coalesce(avg(u) FILTER (WHERE u > 0), 0), 2) AS avg_price, count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS sold,
+    count(*) FILTER (WHERE l_linestatus <> 'F')::BIGINT AS not_sold, count(*) FILTER (WHERE outlier)::BIGINT AS outliers FROM s5 GROUP BY 1"""
+)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fence, outliers, repair and totals of priced rows, summed up by group."""
     priced = _priced(spark, sf_dir)
@@ -533,7 +546,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     settled = lots.fill_total(lots.repair(flagged, "u", "t", "n", "lo", "hi"), "u", "t", "n")
     done = summaries.group_summary(settled.withColumn("sold", F.col("l_linestatus") == "F"), ["l_returnflag"], "n", "u", "sold")
     flags = flagged.groupBy("l_returnflag").agg(F.count_if("outlier").alias("outliers"))
-    return done.join(flags, "l_returnflag")
-
-
-_query(None)(flagship)
+    return done.join(flags, "l_returnflag").withColumn("avg_price", F.round("avg_price", 2))
