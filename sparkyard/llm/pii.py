@@ -132,27 +132,32 @@ _PIECES = re.compile(r"[0-9]+")
 _AT = r"(?:\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s+at\s+|\s?@\s?)"
 _DOT = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\.)"
 _SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
-_SPELLED_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s", re.IGNORECASE)
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.IGNORECASE)
+_SIGN = re.compile(r"[\[({]\s?@\s?[\])}]|@")
+_SPELLED_AT = re.compile(r"[\[({]\s?(?:at|@)\s?[\])}]|@|(?<=\s)at(?=\s)", re.IGNORECASE)
 #: Groups of digits that one candidate takes together at most.
 _TOGETHER = 8
 
 
-def _spelled_zones(text: str) -> Iterator[Span]:
-    """Stretches around at signs and the word at, with a dot behind them."""
-    end = 0
-    marks = ([m.start() for m in _SPELLED_AT.finditer(text)] if "dot" in text or "DOT" in text or "Dot" in text or "(at" in text or "[at" in text else []) + [m.start() for m in re.finditer("@", text)]
-    for at in sorted(marks):
-        a, b = max(end, at - 80), min(len(text), at + 120)
-        if a < b and at >= end:
-            yield a, b
-            end = b
+def _spelled(text: str) -> Iterator[Span]:
+    """Matches of _SPELLED at every at sign and word at, from the whole run of address characters before it."""
+    worded = "dot" in text or "DOT" in text or "Dot" in text or "(at" in text or "[at" in text
+    for mark in (_SPELLED_AT if worded else _SIGN).finditer(text):
+        end = mark.start()
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and _LOCAL.match(text, start - 1):
+            start -= 1
+        # the address characters before a mark hold no other mark, so all runs together are linear
+        if start < end and (m := _SPELLED.match(text, start)):
+            yield m.span()
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Overlapping (kind, start, end) that might be personal data."""
-    for m in _spelled_zones(text):
-        for x in _SPELLED.finditer(text, *m):
-            yield "email", *x.span()
+    for a, b in _spelled(text):
+        yield "email", a, b
     for zone in _WIDE.finditer(text):
         groups = [m.span() for m in _PIECES.finditer(text, *zone.span())]
         for i, (a, _) in enumerate(groups):
