@@ -133,16 +133,15 @@ _AT = r"(?:\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s+at\s+|\s?@\s?)"
 _DOT = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\.)"
 _SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.IGNORECASE)
-_SIGN = re.compile(r"[\[({]\s?@\s?[\])}]|@")
-_SPELLED_AT = re.compile(r"[\[({]\s?(?:at|@)\s?[\])}]|@|(?<=\s)at(?=\s)", re.IGNORECASE)
+#: The core of every _AT: each alternative starts with a character of its own, so that a search skips fast.
+_MARK = re.compile("|".join([*(rf"\{c}\s?(?:[aA][tT]|@)\s?[\])}}]" for c in "[({"), "@", *(rf"{c}[tT](?=\s)(?<=\s..)" for c in "aA")]))
 #: Groups of digits that one candidate takes together at most.
 _TOGETHER = 8
 
 
 def _spelled(text: str) -> Iterator[Span]:
     """Matches of _SPELLED at every at sign and word at, from the whole run of address characters before it."""
-    worded = "dot" in text or "DOT" in text or "Dot" in text or "(at" in text or "[at" in text
-    for mark in (_SPELLED_AT if worded else _SIGN).finditer(text):
+    for mark in _MARK.finditer(text):
         end = mark.start()
         while end and text[end - 1].isspace():
             end -= 1

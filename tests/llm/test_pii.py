@@ -82,6 +82,19 @@ def test_candidates_hold_every_match_in_the_whole_text():
             end = m.end()
 
 
+def test_candidates_do_not_depend_on_distant_text():
+    for t in ("anna(AT)example.com", "anna {at} example.com", "anna [ at ] example.com", "anna at example.com", "anna { @ } example {.} com", "anna  At\nexample dOt com"):
+        assert proposed(t) == {t} == proposed(f"{t}, anecdote") - proposed("anecdote"), t
+    rng = random.Random(10)
+    bits = ["anna", "b.c", " ", " ", ", ", " {at} ", "[ AT ]", "(aT)", "@", " at ", "\nAt ", " dOt ", "{dot}", "[ . ]", ".", "com", "at", "é"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        end = 0
+        for m in pii._SPELLED.finditer(t):
+            assert m.start() == end and end or m[0] in proposed(t), (t, m)
+            end = m.end()
+
+
 def test_held_out_recall_of_emails():
     model, total, missed = pii.fit_pii(), 0, 0
     for text, spans in pii.examples(600, seed=123):
