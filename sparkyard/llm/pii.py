@@ -135,8 +135,6 @@ _SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.IGNORECASE)
 #: The core of every _AT: each alternative starts with a character of its own, so that a search skips fast.
 _MARK = re.compile("|".join([*(rf"\{c}\s?(?:[aA][tT]|@)\s?[\])}}]" for c in "[({"), "@", *(rf"{c}[tT](?=\s)(?<=\s..)" for c in "aA")]))
-#: Groups of digits that one candidate takes together at most.
-_TOGETHER = 8
 
 
 def _spelled(text: str) -> Iterator[Span]:
@@ -161,7 +159,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         groups = [m.span() for m in _PIECES.finditer(text, *zone.span())]
         for i, (a, _) in enumerate(groups):
             count = 0
-            for j in range(i, min(len(groups), i + _TOGETHER)):
+            for j in range(i, len(groups)):
                 b = groups[j][1]
                 count += b - groups[j][0]
                 if count > 19:

@@ -95,6 +95,13 @@ def test_candidates_do_not_depend_on_distant_text():
             end = m.end()
 
 
+def test_numbers_of_many_groups_are_proposed_whole():
+    for kind, t in (("phone", "0 6 1 2 3 4 5 6 7 8"), ("card", "60.11.00.09.90.13.94.24.00.0"), ("card", " ".join("4111111111111111"))):
+        assert (kind, 3, 3 + len(t)) in set(pii.candidates(f"at {t} ok"))
+    # 19 digits end the loop, however many groups follow
+    assert max(sum(c.isdigit() for c in t[a:b]) for t in ["1 " * 300] for _, a, b in pii.candidates(t)) == 19
+
+
 def test_held_out_recall_of_emails():
     model, total, missed = pii.fit_pii(), 0, 0
     for text, spans in pii.examples(600, seed=123):
