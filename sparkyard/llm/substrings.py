@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     A word goes if a window of K words over it also starts in a row with a smaller id. spans are
     the repeated paths: start word, words, source id, source start word; a source is a row of
-    smaller id that holds the span's words. Null texts have no words; a null id is the largest
+    smaller id whose windows have the same hashes; its words are not compared. Null texts have no words; a null id is the largest
     and never a source (its source_id would be null); rows of equal id don't affect each other;
     an empty table gives no rows; other columns are not read.
     """
