@@ -21,6 +21,8 @@ from .labelled import fold, sample, with_texts
 
 #: Most labelled rows of each class that a fit reads, features, ridge penalty per row.
 PER_CLASS, FEATURES, RIDGE = (6000, 14000), 160, 1e-3
+#: Most rows of the sample, chosen by digest, whose median distance is the kernel's width.
+WIDTH_ROWS = 400
 _CLASSES = (
     bytes(range(97, 123)),
     bytes(range(65, 91)),
@@ -99,15 +101,18 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([s / c for c, _, s in blocks]), np.array([b for _, b, _ in blocks])
 
 
-def _moments(stats: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _moments(stats: DataFrame, width: int, width_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cols = [F.col("x")[i] for i in range(width)]
     row = stats.agg(*(F.avg(c) for c in cols), *(F.stddev_pop(c) for c in cols)).first()
-    few = stats.orderBy("d").limit(400).select("x").collect()
+    few = stats.orderBy("d").limit(width_rows).select("x").collect()
     return np.array(row[:width], float), np.array(row[width:], float), np.array([r.x for r in few], float)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int, int] = PER_CLASS, features: int = FEATURES, seed: int = 7, label: str = "quality") -> QualityModel:
-    """A model fitted on at most per_class labelled rows of each class for which `learn` holds."""
+def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int, int] = PER_CLASS, features: int = FEATURES, seed: int = 7, label: str = "quality", width_rows: int = WIDTH_ROWS) -> QualityModel:
+    """A model fitted on at most per_class labelled rows of each class for which `learn` holds.
+
+    The kernel's width is the median distance of at most width_rows of them.
+    """
     chosen, stands_for = sample(labels, label, learn, per_class)
     made = map_texts(with_texts(docs, chosen), ["y", "part"], fields("x array<double>"), lambda texts: {"x": list(statistics(texts))})
     stats = checkpointed(made.select("y", "part", "x", F.xxhash64("x").alias("d")))
@@ -115,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int,
     width = statistics([""]).shape[1]
     if not n:
         return QualityModel(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(3), np.zeros(1), np.full(1, 0.5))
-    mean, scale, few = _moments(stats, width)
+    mean, scale, few = _moments(stats, width, width_rows)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((few - mean) / scale, -6, 6)
     apart = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))

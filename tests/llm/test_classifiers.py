@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from sparkyard.llm import quality as quality_module
 from sparkyard.llm import toxicity as tox
 from sparkyard.llm.labelled import fold, sample
 from sparkyard.llm.quality import QualityModel, isotonic, quality, statistics
@@ -79,6 +80,15 @@ def test_sample_is_bounded_and_repeatable(corpus):
     assert all(truth.get(d, (1, 1))[1] == y and zlib.crc32(str(d).encode()) % 4 != 2 for d, y, _ in a)
 
 
+def test_rows_of_the_kernel_width_are_a_parameter(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    seen, moments = [], quality_module._moments
+    monkeypatch.setattr(quality_module, "_moments", lambda *args: seen.append(moments(*args)) or seen[-1])
+    for n in (quality_module.WIDTH_ROWS, 50):
+        quality_module.fit_quality(docs, labels, fold("doc_id", 5) != 0, width_rows=n)
+    assert [len(few) for _, _, few in seen] == [400, 50]
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
     knots, values = isotonic(x, y, np.ones(5))
