@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Edges of a partition that a round leaves; few edges make few files.
+EDGES_A_PART = 250_000
+
 
 def _apart(least: DataFrame) -> DataFrame:
     """least in partitions of its own, so that the join to it shuffles both sides and AQE can split a hub's edges."""
@@ -40,7 +43,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before or not now[0]:
             break
         before = now
-        edges = checkpointed(_small_star(_large_star(edges)))
+        # a round's edges are about as many as the last one's; fewer partitions than the shuffle has are enough for few
+        edges = checkpointed(_small_star(_large_star(edges)).coalesce(-(-now[0] // EDGES_A_PART)))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
