@@ -73,13 +73,14 @@ def cuts_below(key: Column, cuts: list, literal: Callable[[object], Column]) ->
 
 
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges [start, end) of texts, each of about limit characters or a single text."""
+    """Ranges [start, end) of texts, each of at most limit UTF-8 bytes or a single text."""
     start = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
+        size = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        if held and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(t)
+        held += size
     if start < len(texts):
         yield start, len(texts)
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fields, filter_texts, map_texts
 
-#: Edits per character of an item; items below SHORT characters match whole texts only.
-RATE, SHORT, GRAM = 0.1, 16, 5
+#: Edits per character of an item; characters of the grams that a place is filtered by.
+RATE, GRAM = 0.1, 5
 #: Characters of items that travel to the tasks at once; more items take more passes.
 BLOCK_CHARS = 8 << 20
 
@@ -77,18 +77,13 @@ class Matcher:
 
             texts, budgets, grams = [], [], []
             pieces: dict[str, list[tuple[int, int]]] = {}
-            short: dict[str, list[int]] = {}
             for item, raw in self.items:
                 t = normal(raw)
                 if not t:
                     continue
-                k, e = len(texts), int(self.rate * len(t))
+                k, e = len(texts), min(int(self.rate * len(t)), len(t) - 1)
                 texts.append((item, t))
                 budgets.append(e)
-                if len(t) < SHORT:
-                    short.setdefault(t, []).append(k)
-                    grams.append([])
-                    continue
                 grams.append([t[i : i + GRAM] for i in range(0, len(t) - GRAM + 1, GRAM)])
                 for j in range(e + 1):
                     a, b = j * len(t) // (e + 1), (j + 1) * len(t) // (e + 1)
@@ -98,7 +93,7 @@ class Matcher:
                 automaton.add_word(piece, uses)
             if pieces:
                 automaton.make_automaton()
-            self._built = (texts, budgets, grams, short, automaton if pieces else None)
+            self._built = (texts, budgets, grams, automaton if pieces else None)
         return self._built
 
     def _near(self, text: str, k: int, start: int, texts, budgets, grams) -> bool:
@@ -115,9 +110,8 @@ class Matcher:
 
     def find(self, text: str) -> list[dict]:
         """The best place of each item that the text holds; start and end count in the normal text."""
-        texts, budgets, grams, short, automaton = self.build()
-        text = normal(text)
-        found = [{"item_id": texts[k][0], "distance": 0, "start": 0, "end": len(text)} for k in short.get(text, ())]
+        texts, budgets, grams, automaton = self.build()
+        text, found = normal(text), []
         if automaton is None:
             return found
         starts: dict[int, set[int]] = {}
@@ -173,9 +167,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     """(id, item_id, distance, start, end) for every row of docs and item that it holds.
 
     distance is the least number of edits between the item and a passage of the text, at most
-    floor(rate * n); start and end are the passage's, in the folded text. Items below SHORT
-    characters count only where they are the whole text. Null and empty texts and items match
-    nothing; repeated rows each report; null ids stay; empty tables give no rows.
+    floor(rate * n); start and end are the passage's, in the folded text. An item of any length
+    counts wherever its characters stand, inside words too, so a benchmark should hold no single
+    words. Null and empty texts and items match nothing; whole texts are searched, however long,
+    each in one task; repeated rows each report; null ids stay; items of one id each report;
+    empty tables give no rows; other columns, clashing names among them, are not read.
     """
     blocks = _blocks(benchmark, item_col, text)
     out, block = None, next(blocks, [])
@@ -190,8 +186,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, item_col: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with the columns of docs; one pass over docs a block."""
-    for block in _blocks(benchmark, item_col, text):
-        matcher = Matcher(block, rate)
+    """The rows of docs that hold no item, with all columns of docs; one pass over docs a block.
+
+    Between passes what is left is written to the shared folder, so that a task holds one block's
+    automaton. Null and empty texts stay, as do all rows if there are no items; of repeated rows
+    all stay or all go; whole texts are searched, however long; an empty table gives no rows.
+    """
+    blocks = _blocks(benchmark, item_col, text)
+    block = next(blocks, None)
+    while block:
+        after, matcher = next(blocks, None), Matcher(block, rate)
         docs = filter_texts(docs, lambda texts, m=matcher: [not m.find(t) for t in texts], text)
+        docs, block = docs if after is None else checkpointed(docs), after
     return docs

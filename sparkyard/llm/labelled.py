@@ -28,5 +28,31 @@ def sample(labels: DataFrame, label: str, learn: Column, per_class: tuple[int, i
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(y, part, text) of the sampled ids' rows. chosen is bounded by its per_class, so it is broadcast."""
-    return docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("y", "part", "text")
+    """(y, part, d, text) of the sampled ids, a row each: of an id's several texts that with the least digest.
+
+    chosen is bounded by its per_class, so it is broadcast. d is the digest that ids are taken by.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id")
+    return rows.groupBy("id", "y", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "part", F.xxhash64("id").alias("d"), "text")
+
+
+def within_bytes(rows: DataFrame, stands_for: list[float], most_bytes: int) -> tuple[DataFrame, list[float]]:
+    """The rows of with_texts, by digest, whose texts come to at most most_bytes / 2 a class, and how many each stands for.
+
+    Only digests and sizes of the sample reach the driver. A class keeps one text at least, if that fits most_bytes.
+    """
+    sizes = sorted((r.d, r.y, r.n) for r in rows.select("d", "y", F.octet_length("text").alias("n")).collect())
+    out, weights = None, list(stands_for)
+    for y in (0, 1):
+        own, held, last, kept = [(d, n) for d, k, n in sizes if k == y], 0, None, 0
+        for d, n in own:
+            held += n
+            if held > (most_bytes / 2 if kept else most_bytes):
+                break
+            last, kept = d, kept + 1
+        if kept < len(own):
+            weights[y] *= len(own) / max(1, kept)
+        part = rows.where((F.col("y") == y) & (F.col("d") <= F.lit(last).cast("bigint")))
+        out = part if out is None else out.union(part)
+    return out, weights

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_texts
-from .labelled import fold, sample, with_texts
+from .common import checkpointed, fields, map_texts
+from .labelled import fold, sample, with_texts, within_bytes
 
-#: Most labelled rows of each class that a fit reads, words of a sentence, words that a worker remembers.
-PER_CLASS, LONGEST, REMEMBERED = (2500, 2500), 64, 300_000
+#: Most labelled rows of each class that a fit reads, bytes of their texts, words that a worker remembers.
+PER_CLASS, MOST_BYTES, REMEMBERED = (2500, 2500), 48 << 20, 300_000
 #: Bytes of the word beginnings that are features beside the word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Letters, digits and bytes beyond ASCII stay; ends of sentences become line feeds, the rest spaces.
@@ -30,18 +30,8 @@ def sentences(text: str) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of the sentences with words, in bytes of the UTF-8 text."""
     out, at = [], 0
     for line in text.encode("utf-8", "surrogatepass").lower().translate(_FOLD).split(b"\n"):
-        words = line.split()
-        if len(words) <= LONGEST:
-            if words:
-                out.append((at, at + len(line), words))
-        else:
-            pos = 0
-            for i in range(0, len(words), LONGEST):
-                own = words[i : i + LONGEST]
-                start = line.index(own[0], pos)
-                for w in own:
-                    pos = line.index(w, pos) + len(w)
-                out.append((at + start, at + pos, own))
+        if words := line.split():
+            out.append((at, at + len(line), words))
         at += len(line) + 1
     return out
 
@@ -131,6 +121,18 @@ def _vocabulary(vocab: list[bytes], doc_words: np.ndarray, fit: np.ndarray, leas
     return [names[i] for i in keep], rows[used], new[cols[used]]
 
 
+def loss_and_slope(s: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted mean of the noisy-or's negative log-likelihood, and its slope in each sentence's score s.
+
+    counts: sentences of each text; a text's chance to be clean is the product of its sentences'.
+    """
+    clean = np.minimum(-_sums(_softplus(s), counts), -1e-9)
+    total = max(1.0, weight.sum())
+    loss = -(weight * np.where(y == 1, np.log(-np.expm1(clean)), clean)).sum() / total
+    blame = np.where(y == 1, -np.exp(clean) / -np.expm1(clean), 1.0) * weight
+    return float(loss), np.repeat(blame, counts) / (1 + np.exp(-s)) / total
+
+
 def train(words: np.ndarray, vocab: list[bytes], sizes: np.ndarray, counts: np.ndarray, y: np.ndarray, part: np.ndarray, stands_for: list[float], rounds: int = 150, least_docs: int = 8, l1: float = 2e-4, rate: float = 0.15) -> ToxicityModel:
     """Adam on the noisy-or likelihood of parts 1 to 3; Platt calibration on part 0."""
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -146,9 +148,7 @@ def train(words: np.ndarray, vocab: list[bytes], sizes: np.ndarray, counts: np.n
 
     for step in range(1, rounds + 1):
         s = bias + scores(w)
-        clean = np.minimum(-_sums(_softplus(s), counts), -1e-9)
-        blame = np.where(y == 1, -np.exp(clean) / -np.expm1(clean), 1.0) * balance
-        g = blame[doc] / (1 + np.exp(-s)) / max(1, balance.sum())
+        g = loss_and_slope(s, counts, y, balance)[1]
         gw = np.bincount(cols, weights=np.bincount(words, weights=g[sentence], minlength=len(vocab))[rows], minlength=len(known))
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
@@ -174,15 +174,19 @@ def train(words: np.ndarray, vocab: list[bytes], sizes: np.ndarray, counts: np.n
     return ToxicityModel(weights, float(bias), float(max(slope, 1e-3)), float(offset))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int, int] = PER_CLASS, label: str = "toxic") -> ToxicityModel:
-    """A model trained on at most per_class labelled rows of each class for which `learn` holds."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int, int] = PER_CLASS, label: str = "toxic", most_bytes: int = MOST_BYTES) -> ToxicityModel:
+    """A model trained on at most per_class labelled rows of each class for which `learn` holds.
+
+    Their whole texts come to at most most_bytes, which bounds the words that the driver trains on.
+    """
     chosen, stands_for = sample(labels, label, learn, per_class)
+    texts, stands_for = within_bytes(checkpointed(with_texts(docs, chosen)), stands_for, most_bytes)
 
     def work(texts: list[str]) -> dict[str, list]:
         found = [sentences(t) for t in texts]
         return {"words": [[w for x in own for w in x[2]] for own in found], "sizes": [[len(x[2]) for x in own] for own in found]}
 
-    rows = map_texts(with_texts(docs, chosen), ["y", "part"], fields("words array<binary>, sizes array<int>"), work).toArrow()
+    rows = map_texts(texts, ["y", "part"], fields("words array<binary>, sizes array<int>"), work).toArrow()
     if not rows.num_rows:
         return ToxicityModel({}, -4.0, 1.0, 0.0)
     flat = lambda c: pa.chunked_array([x.flatten() for x in rows.column(c).chunks])
@@ -197,8 +201,10 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     """keep, score, predicted and offending for every row's whole text.
 
     offending: the sentences whose own score is at least `blame`, as start and end in code points
-    and that score. Null, empty and wordless texts get the score of a text without sentences;
-    repeated rows score alike; an empty table gives no rows; other columns are not read.
+    and that score. A sentence of any length is one instance, and a text's sentences are all
+    scored, however many. Null, empty and wordless texts get the score of a text without
+    sentences; repeated rows score alike; an empty table gives no rows; other columns, clashing
+    names among them, are not read.
     """
     memory: dict[int, _Weights] = {}  # filled on the worker
 

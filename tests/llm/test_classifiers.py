@@ -8,7 +8,7 @@ import pytest
 
 from sparkyard.llm import quality as quality_module
 from sparkyard.llm import toxicity as tox
-from sparkyard.llm.labelled import fold, sample
+from sparkyard.llm.labelled import fold, sample, with_texts, within_bytes
 from sparkyard.llm.quality import QualityModel, isotonic, quality, statistics
 from sparkyard.llm.toxicity import sentences, toxicity
 
@@ -101,7 +101,67 @@ def test_sentences():
     raw = text.encode().lower()
     assert [w for _, _, ws in found for w in ws] == raw.translate(tox._FOLD).split()
     assert all(raw[a:b].translate(tox._FOLD).split() == ws for a, b, ws in found)
-    assert max(len(ws) for _, _, ws in found) <= tox.LONGEST
+    assert [len(ws) for _, _, ws in found] == [2, 2, 151]
+
+
+def test_noisy_or_against_brute_force():
+    rng = np.random.default_rng(3)
+    counts = np.array([3, 0, 1, 5, 2])
+    s, y, weight = rng.normal(size=counts.sum()) * 2, np.array([1, 0, 1, 0, 1.0]), np.array([1, 2, 0.5, 1, 3.0])
+
+    def plain(s):
+        total, at = 0.0, 0
+        for n, label, k in zip(counts, y, weight, strict=True):
+            clean = np.prod([1 - 1 / (1 + np.exp(-x)) for x in s[at : at + n]])
+            total -= k * (np.log(1 - clean) if label else np.log(clean))
+            at += n
+        return total / weight.sum()
+
+    loss, slope = tox.loss_and_slope(s, counts, y, weight)
+    assert loss == pytest.approx(plain(s), abs=1e-6)
+    for i in range(len(s)):
+        step = np.eye(len(s))[i] * 1e-5
+        assert slope[i] == pytest.approx((plain(s + step) - plain(s - step)) / 2e-5, abs=1e-6)
+
+
+def test_scores_against_brute_force(spark):
+    model = tox.ToxicityModel({b"=vile": 2.0, b"zor": 1.5, b"=fine": -1.0}, -3.0, 0.9, 0.2)
+    texts = ["A vile day. Fine zorgh! all fine", "", None, "fine " * 500 + "vile " * 300 + ". zork", "no words known\nvile"]
+    rows = tox.toxicity_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in rows:
+        clean = 1.0
+        for sentence in (texts[r.doc_id] or "").lower().replace("!", ".").replace("\n", ".").split("."):
+            if ws := sentence.split():
+                z = -3.0 + sum(2.0 * (w == "vile") + 1.5 * w.startswith("zor") - 1.0 * (w == "fine") for w in ws)
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        x = np.clip(np.log(max(1 - clean, 1e-9)) - np.log(max(clean, 1e-300)), -20, 20)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(0.9 * x + 0.2))), abs=1e-6) and r.predicted == (r.score >= 0.3)
+
+
+def test_ridge_weights_against_one_plain_solve(corpus):
+    docs, labels, truth = corpus
+    model = quality_module.fit_quality(docs, labels, fold("doc_id", 5) != 0, features=20)
+    chosen, stands_for = sample(labels, "quality", fold("doc_id", 5) != 0, quality_module.PER_CLASS)
+    rows = with_texts(docs, chosen).where("part > 0").collect()
+    f, y = model.features(statistics([r.text for r in rows])), np.array([r.y for r in rows], float)
+    w = np.where(y == 1, stands_for[1], stands_for[0])
+    ridge = quality_module.RIDGE * max(w.sum(), 1) * np.eye(f.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(f.T @ (f * w[:, None]) + ridge, f.T @ (w * y)), atol=1e-6)
+
+
+def test_repeated_ids_count_once_and_bytes_are_bounded(corpus, spark):
+    docs, labels, _ = corpus
+    chosen, stands_for = sample(labels, "toxic", fold("doc_id", 4) != 2, (40, 30))
+    n = chosen.join(docs, "doc_id").count()
+    many = docs.union(docs).union(docs)
+    rows = with_texts(many, chosen)
+    assert rows.count() == n
+    few, weights = within_bytes(rows, stands_for, 4000)
+    kept = few.collect()
+    assert 2 <= len(kept) < n and sum(len(r.text.encode()) for r in kept) <= 4000
+    for y in (0, 1):
+        assert weights[y] * sum(r.y == y for r in kept) == pytest.approx(stands_for[y] * sum(r.y == y for r in rows.collect()))
+    assert within_bytes(rows, stands_for, 1 << 30)[0].count() == n and within_bytes(rows.limit(0), stands_for, 9)[0].count() == 0
 
 
 def test_statistics_are_finite():

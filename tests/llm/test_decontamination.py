@@ -40,6 +40,7 @@ def made(seed):
     word = lambda: rng.choice(("the", "of", "an")) if rng.random() < 0.4 else "".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 7)))
     line = lambda n: " ".join(word() for _ in range(n))
     items = [(i, line(rng.randrange(4, 40))) for i in range(25)] + [(100, "Short"), (101, ""), (102, None), (103, line(500))]
+    items += [(110 + n, "".join(rng.choice("bcdfg") for _ in range(n))) for n in (1, 4, 9, 10, 15, 16)]
     docs = []
     for i in range(150):
         t = line(rng.randrange(60))
@@ -62,13 +63,14 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
         for i, x in items:
             x = dc.normal(x or "")
             if x and len(t) < 20000:
-                n = distance(x, t)[0] if len(x) >= dc.SHORT else 0 if x == t else 99
+                n = distance(x, t)[0]
                 if n <= int(dc.RATE * len(x)):
                     want.add((d, i, n))
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, item_id int").repartition(4)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = dc.contaminated(df, bench).collect()
     assert {(r.doc_id, r.item_id, r.distance) for r in rows if r.doc_id != 906} == want
+    assert {i for _, i, n in want if n} & {120, 125, 126} and {i for _, i, _ in want} >= {100, 114, 119}
     assert (906, 5, 0) in {(r.doc_id, r.item_id, r.distance) for r in rows} and sum(r.doc_id == 905 and r.item_id == 4 for r in rows) == 2
     texts, by = {d: dc.normal(t or "") for d, t in docs}, dict(items)
     for r in rows:
