@@ -14,6 +14,8 @@ from sparkyard.functions import jsons as J
 from sparkyard.functions.scalars import evidenced_lots, has_evidence, hms_seconds_strict, money, repair_small
 
 TOLERANCE, FENCE, BURST = 0.2, 1.5, 12
+#: Groups up to which a row a group (some 100 bytes) travels to all tasks; more are joined by a shuffle.
+GROUPS_SENT = 50_000
 
 
 def repair(rows: DataFrame, unit: str = "unit_price", total: str = "total_price", n: str = "num_animals", lo: str | None = None, hi: str | None = None, rebuild: bool = True) -> DataFrame:
@@ -93,34 +95,44 @@ def fences(rows: DataFrame, group: Sequence[str], value: str, k: float = FENCE,
 def fences_of_large_groups(rows: DataFrame, group: Sequence[str], value: str, k: float = FENCE, least: int = 5) -> DataFrame:
     """As `fences`, for groups of any size: no array, no task that holds a group, no shuffle of all rows.
 
-    Approximate quantiles just below and above each quartile cut a group into five buckets. Counts of
-    the buckets (a partial aggregation) say which bucket and rank the two neighbours of each quartile
-    have; only the rows of those buckets, a few in ten thousand, are counted by value and ranked. If
-    an approximation is off, a neighbour is in another bucket, and found there.
+    Approximate quantiles just below and above each quartile cut a group into five buckets. One more
+    scan counts the outer buckets as wholes and the two narrow ones, a few in ten thousand rows, by
+    value; running counts then give the exact neighbours of each quartile. Where an approximation is
+    so far off that a neighbour lies in an outer bucket, that bucket is counted by value too; with
+    none of these, that scan does not run. The groups' cuts are counted: up to GROUPS_SENT of them
+    travel to all tasks, and the result is marked for such joins as well.
     """
     keys = [F.col(c) for c in group]
-    given = rows.where(F.col(value) > 0).select(*keys, F.col(value).alias("v"))
-    cuts = given.groupBy(*keys).agg(F.percentile_approx("v", [0.2497, 0.2503, 0.7497, 0.7503], 10_000).alias("cuts"), F.count("*").alias("n"))
-    placed = given.join(cuts, list(group)).withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
+    given = F.when(F.col(value) > 0, F.col(value))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(given, [0.2497, 0.2503, 0.7497, 0.7503], 10_000).alias("cuts"), F.count(given).alias("n")).persist()
+    sent = F.broadcast if cuts.count() <= GROUPS_SENT else lambda df: df
+    v, c = F.col("v"), F.col("cuts")
+    place = F.when(v < c[0], 0).when(v <= c[1], 1).when(v < c[2], 2).when(v <= c[3], 3).otherwise(4)
+    named = cuts.select(*(F.col(x).alias(f"__{x}") for x in group), "cuts", "n")
+    here = rows.where(F.col(value) > 0).select(*keys, F.col(value).alias("v"))
+    placed = here.join(sent(named), [here[x].eqNullSafe(named[f"__{x}"]) for x in group]).select(*group, "v", "n", place.alias("b"))
+    counted = placed.groupBy(*keys, "n", "b", F.when(F.col("b").isin(1, 3), v).alias("v")).agg(F.count("*").alias("t"))
     # 0-based ranks wanted: p // 4 - 1 and p // 4 for p = i * (n + 1)
     wanted = F.array(*(F.floor(F.lit(i) * (F.col("n") + 1) / 4) + s for i in (1, 3) for s in (-1, 0)))
-    totals = placed.groupBy(*keys, "b", "n").agg(F.count("*").alias("t"))
-    ends = totals.withColumn("e", F.sum("t").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    buckets = ends.withColumns({"s": F.col("e") - F.col("t"), "w": wanted}).where(F.exists("w", lambda x: (x >= F.col("s")) & (x < F.col("e"))))
-    near = placed.drop("n", "cuts").join(buckets.drop("t", "e"), [*group, "b"]).groupBy(*keys, "b", "n", "s", "w", "v").agg(F.count("*").alias("c"))
-    run = Window.partitionBy(*keys, "b").orderBy("v")
-    upto = F.col("s") + F.sum("c").over(run)
-    ranked = near.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("c"))
-    value_at = lambda i: F.max(F.when((F.get("w", F.lit(i)) >= F.col("at")) & (F.get("w", F.lit(i)) < F.col("upto")), F.col("v")))
-    four = ranked.groupBy(*keys, "n").agg(*(value_at(i).alias(f"x{i}") for i in range(4)))
+    order = Window.partitionBy(*keys).orderBy("b", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counted.withColumn("e", F.sum("t").over(order)).withColumns({"s": F.col("e") - F.col("t"), "w": wanted})
+    ends = ends.where(F.exists("w", lambda x: (x >= F.col("s")) & (x < F.col("e")))).select(*group, "n", "b", "v", "s", "e", "w")
+    outer = ends.where("v is null").select(*(F.col(x).alias(f"__{x}") for x in group), F.col("b").alias("__b"), "s", "w")
+    near = placed.join(sent(outer), [*(placed[x].eqNullSafe(outer[f"__{x}"]) for x in group), placed["b"] == outer["__b"]])
+    near = near.groupBy(*keys, "n", "b", "v", "s", "w").agg(F.count("*").alias("t"))
+    upto = F.col("s") + F.sum("t").over(Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("e", upto).withColumn("s", F.col("e") - F.col("t")).select(*group, "n", "b", "v", "s", "e", "w")
+    ranked = ends.where("v is not null").unionByName(near)
+    value_at = lambda i: F.max(F.when((F.get("w", F.lit(i)) >= F.col("s")) & (F.get("w", F.lit(i)) < F.col("e")), v))
+    four = ranked.groupBy(*keys).agg(*(value_at(i).alias(f"x{i}") for i in range(4)))
+    four = four.select(*(F.col(x).alias(f"__{x}") for x in group), *(f"x{i}" for i in range(4)))
+    # groups without a positive value have no neighbours
+    found = cuts.select(*group, F.col("n").cast("bigint").alias("n")).join(sent(four), [F.col(x).eqNullSafe(F.col(f"__{x}")) for x in group], "left")
     p = lambda i: (F.lit(i) * (F.col("n") + 1)) % 4
     q1 = (F.col("x0") * (4 - p(1)) + F.col("x1") * p(1)) / 4
     q3 = (F.col("x2") * (4 - p(3)) + F.col("x3") * p(3)) / 4
     lo, hi = _fence(F.col("q1"), F.col("q3"), F.col("n"), k, least)
-    found = four.select(*group, "n", q1.alias("q1"), q3.alias("q3")).withColumns({"lo": lo, "hi": hi})
-    # groups without a positive value
-    every = rows.select(*group).distinct().join(found, list(group), "left")
-    return every.withColumns({"n": F.coalesce("n", F.lit(0)).cast("bigint"), "lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(float("inf")))})
+    return sent(found.select(*group, "n", q1.alias("q1"), q3.alias("q3")).withColumns({"lo": lo, "hi": hi}))
 
 
 def flag_outliers(rows: DataFrame, bounds: DataFrame, group: Sequence[str], value: str) -> DataFrame:

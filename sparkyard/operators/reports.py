@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkyard.functions.scalars import auction_name, auctioneer_name, dash, first_text, money, safe_folder, truthy_price
 
-from .summaries import by_timestamp, first_maximum
+from .summaries import bucketed, by_timestamp, first_maximum
 
+# Labels and headings of the report and its views.
 LABELS = {"most_lots": "Most lots", "most_animals": "Most animals", "highest_avg_price": "Highest average price"}
 
 
@@ -128,15 +129,45 @@ def report_folder(name: str | None, root: str = "output") -> Column:
     return F.concat(F.lit(f"{root}/batches/"), safe_folder(named))
 
 
+def _priced_cell(c: str) -> Column:
+    return F.when(F.coalesce(F.col(c) != 0, F.lit(False)), money(c)).otherwise("-")
+
+
 def summary_view(summary: DataFrame) -> DataFrame:
-    """A terminal view of auction summaries."""
-    animals = F.array_join(F.transform("category_animals", lambda x: F.concat(x["category"], F.lit(": "), x["animals"].cast("string"))), ", ")
-    price = F.when(F.col("avg_price") != 0, money("avg_price")).otherwise("-")
-    return summary.select("video_id", "total_lots", "total_animals", price.alias("avg_price"), animals.alias("animals"), "sold", "not_sold")
+    """A terminal view of auction summaries: animals and mean prices of the male, female and other categories."""
+    in_bucket = lambda name: F.filter("category_animals", lambda x: bucketed(x["category"]) == name)
+    heads = lambda name: F.array_join(F.transform(in_bucket(name), lambda x: F.concat(x["category"], F.lit(": "), x["animals"].cast("string"))), "  |  ")
+    known = lambda name: F.filter(in_bucket(name), lambda x: F.map_contains_key("category_prices", x["category"]))
+    prices = lambda name: F.array_join(F.transform(known(name), lambda x: F.concat(x["category"], F.lit(": "), money(F.try_element_at("category_prices", x["category"])))), "  |  ")
+    parts = {f"{name}_{what}": made(name) for name in ("male", "female", "other") for what, made in (("animals", heads), ("prices", prices))}
+    return summary.select("video_id", "total_lots", "total_animals", _priced_cell("avg_price").alias("avg_price"), *(c.alias(n) for n, c in parts.items()), "sold", "not_sold")
+
+
+def batch_view(items: DataFrame) -> DataFrame:
+    """A terminal view of batch items; failed ones show their URL."""
+    good = F.col("status") == "success"
+    cell = lambda c: F.when(good, dash(c)).otherwise("-")
+    return items.orderBy("index").select(
+        F.when(good, "OK").otherwise("FAIL").alias("status"),
+        F.when(good, F.col("video_id")).otherwise(F.col("url")).alias("video"),
+        cell("date").alias("date"),
+        cell("city").alias("city"),
+        cell(first_text("auction_name", "farm", "auctioneer")).alias("auction"),
+        cell(first_text("auctioneer_display", "auctioneer")).alias("auctioneer"),
+        cell("total_lots").alias("lots"),
+        cell("total_animals").alias("animals"),
+        F.when(good, _priced_cell("avg_price")).otherwise("-").alias("avg_price"),
+    )
+
+
+def price_view(items: DataFrame, categories: list[str]) -> DataFrame:
+    """Mean prices of the named categories (columns) by successful item; - where there is none."""
+    listed = F.map_entries("category_prices")
+    return items.where("status = 'success'").orderBy("index").select("video_id", *(price_cell(listed, F.lit(c)).alias(c) for c in categories))
 
 
 def lots_view(lots: DataFrame) -> DataFrame:
     """A terminal view of lots in order of appearance."""
-    text = {c: dash(c) for c in ("age_months", "notes")} | {c: F.when(F.coalesce(F.col(c) != 0, F.lit(False)), money(c)).otherwise("-") for c in ("unit_price", "total_price")}
+    text = {c: dash(c) for c in ("age_months", "notes")} | {c: _priced_cell(c) for c in ("unit_price", "total_price")}
     sold = F.when(F.col("sold"), "yes").when(~F.col("sold"), "no").otherwise("-")
     return by_timestamp(lots).withColumns(text | {"sold": sold, "timestamp_start": dash("timestamp_start")})

@@ -24,13 +24,14 @@ def outcome_counts(sold: str) -> dict[str, Column]:
     return {"sold": F.count_if(F.col(sold)).cast("bigint"), "not_sold": F.count_if(~F.col(sold)).cast("bigint")}
 
 
-def group_summary(rows: DataFrame, group: Sequence[str], n: str, price: str, sold: str) -> DataFrame:
-    """(group, total_lots, total_animals, avg_price, sold, not_sold)."""
+def group_summary(rows: DataFrame, group: Sequence[str], n: str, price: str, sold: str, more: Sequence[Column] = ()) -> DataFrame:
+    """(group, total_lots, total_animals, avg_price, sold, not_sold), and further aggregates."""
     return rows.groupBy(*group).agg(
         F.count("*").cast("bigint").alias("total_lots"),
         F.sum(n).cast("bigint").alias("total_animals"),
         price_mean(price).alias("avg_price"),
         *(c.alias(name) for name, c in outcome_counts(sold).items()),
+        *more,
     )
 
 

@@ -1,7 +1,9 @@
 """Command line: python -m sparkyard.plans COMMAND ...
 
-extract   stage documents of a folder (transcript_*.json, ocr_results_*.json) to lots, by recorded
-          answers (responses and verdicts as JSON lines) or, without any, by the overlay extractor
+run       stage documents of a folder (transcript_*.json, ocr_results_*.json, video_info_*.json) to
+          result documents: lots and metadata, by recorded answers (JSON lines) or, without any, by
+          the overlay extractor
+extract   the same as far as the lots
 batch     lots and metadata of a folder to a batch report (JSON and markdown)
 evaluate  lots of a folder against reference lots
 """
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard import schemas
-from sparkyard.operators import evaluation
+from sparkyard.operators import evaluation, reports, summaries
 from sparkyard.sources import readers, writers
 
 from . import auctions, providers
@@ -24,19 +26,30 @@ from . import auctions, providers
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkyard", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("extract", "batch", "evaluate"):
+    default = auctions.Settings
+    for name in ("run", "extract", "batch", "evaluate"):
         c = sub.add_parser(name)
         c.add_argument("folder", help="folder of stage documents")
         c.add_argument("output", help="folder to write to")
-        c.add_argument("--window-size", type=int, default=auctions.Settings.window_size)
-        c.add_argument("--overlap", type=int, default=auctions.Settings.overlap)
-        if name == "extract":
+        c.add_argument("--window-size", type=int, default=default.window_size)
+        c.add_argument("--overlap", type=int, default=default.overlap)
+        if name in ("run", "extract"):
+            c.add_argument("--provider", choices=sorted(providers.DEFAULT_MODELS), default=default.provider, help="whose answers the recorded ones are")
+            c.add_argument("--transcriber", choices=providers.ASR_BACKENDS, default=default.transcriber)
+            c.add_argument("--screenshot-interval", type=int, default=default.frame_interval)
+            c.add_argument("--ocr-video-height", type=int, choices=(480, 720), default=default.video_height)
+            c.add_argument("--confidence", type=float, default=default.confidence)
             c.add_argument("--responses", help="recorded answers, JSON lines")
             c.add_argument("--verdicts", help="recorded verdicts, JSON lines")
             c.add_argument("--no-resume", action="store_true", help="make results anew that are there already")
-        if name == "batch":
+        if name == "run":
+            c.add_argument("--facts", help="recorded metadata answers, JSON lines")
+            for what in ("metadata", "summary", "table"):
+                c.add_argument(f"--show-{what}", action=argparse.BooleanOptionalAction, default=what != "table")
+        if name in ("run", "batch"):
             c.add_argument("urls", nargs="*")
             c.add_argument("--batch-file")
+        if name == "batch":
             c.add_argument("--batch-name", default=None)
             c.add_argument("--stop-on-error", action="store_true")
         if name == "evaluate":
@@ -44,56 +57,108 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _provider(spark: SparkSession, responses: str | None, verdicts: str | None, facts: str | None = None) -> providers.Provider:
+    if responses is None:
+        return providers.Overlay()
+    read = lambda path, schema: spark.read.schema(schema).json(path) if path else None
+    return providers.Recorded(read(responses, schemas.RESPONSES), read(verdicts, schemas.VERDICTS), read(facts, "video_id string, response string"))
+
+
+def _what_lots_depend_on(settings: auctions.Settings, responses: str | None, verdicts: str | None) -> dict:
+    own = ("window_size", "overlap", "frame_interval", "video_height", "confidence", "provider", "transcriber")
+    return {k: getattr(settings, k) for k in own} | {"responses": responses, "verdicts": verdicts}
+
+
 def extract(spark: SparkSession, folder: str, output: str, settings: auctions.Settings, responses: str | None = None, verdicts: str | None = None, resume: bool = True) -> DataFrame:
     """Lots of all videos of the folder, kept in a stage table; only missing videos are worked on."""
     segments, ocr = readers.segments(spark, f"{folder}/transcript_*.json"), readers.ocr(spark, f"{folder}/ocr_results_*.json")
-    stage = writers.StageTable(spark, f"{output}/lots", window=settings.window_size, overlap=settings.overlap, responses=responses, verdicts=verdicts)
+    table = writers.StageTable(spark, f"{output}/lots", **_what_lots_depend_on(settings, responses, verdicts))
     wanted = segments.select("video_id").union(ocr.select("video_id")).distinct()
 
     def make(keys: DataFrame) -> DataFrame:
         only = lambda df: df.join(keys, "video_id", "left_semi")
         windows = auctions.windows(only(segments), only(ocr), settings)
-        if responses is None:
-            provider: providers.Provider = providers.Overlay()
-        else:
-            provider = providers.Recorded(spark.read.schema(schemas.RESPONSES).json(responses), spark.read.schema(schemas.VERDICTS).json(verdicts) if verdicts else None)
-        return auctions.extract(windows, provider, settings)
+        return auctions.extract(windows, _provider(spark, responses, verdicts), settings)
+
+    if not resume:
+        table.clear(wanted)
+    with auctions.stage(spark, "Extract lots"):
+        return table.fill(wanted, make)
+
+
+def run(spark: SparkSession, folder: str, output: str, settings: auctions.Settings, urls: list[str] = (), batch_file: str | None = None, responses: str | None = None, verdicts: str | None = None, facts: str | None = None, resume: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(auctions, lots) of the folder's videos; writes a result document a video under output/results.
+
+    With URLs, only their videos; else all of the folder's.
+    """
+    parameters = _what_lots_depend_on(settings, responses, verdicts)
+    segments, ocr = readers.segments(spark, f"{folder}/transcript_*.json"), readers.ocr(spark, f"{folder}/ocr_results_*.json")
+    there = segments.select("video_id").union(ocr.select("video_id")).distinct()
+    listed = readers.batch_urls(spark, urls, batch_file).where("video_id is not null").groupBy("video_id").agg(F.min_by("url", "ordinal").alias("video_url"))
+    known = there.join(listed, "video_id") if urls or batch_file else there.withColumn("video_url", F.lit(None).cast("string"))
+    if not resume:
+        auctions.start_afresh(spark, output, known.select("video_id"), **parameters)
+    lots = extract(spark, folder, output, settings, responses, verdicts)
+    lots = lots.join(known, "video_id", "left_semi")
+    titles = spark.read.text(f"{folder}", wholetext=True, pathGlobFilter="video_info_*.json").select(F.col("_metadata.file_path").alias("path"), "value")
+    titles = readers.named(titles).select("video_id", F.from_json("value", "title string, description string").alias("i")).select("video_id", "i.*")
+    info = known.join(readers.video_info(titles), "video_id", "left")
+    table = writers.StageTable(spark, f"{output}/metadata", facts=facts, **parameters)
+
+    def make(keys: DataFrame) -> DataFrame:
+        only = lambda df: df.join(keys, "video_id", "left_semi")
+        windows = auctions.windows(only(segments), only(ocr), settings)
+        return auctions.results(only(info), windows, only(lots), _provider(spark, responses, verdicts, facts))
 
     if not resume:
-        stage.put(make(wanted))
-        return stage.present()
-    return stage.fill(wanted, make)
+        table.clear(known)
+    with auctions.stage(spark, "Extract metadata"):
+        found = table.fill(known, make)
+    with auctions.stage(spark, "Write results"):
+        writers.write_documents(found, f"{output}/results")
+    return found, lots
 
 
 def batch(spark: SparkSession, folder: str, output: str, settings: auctions.Settings, urls: list[str], batch_file: str | None, name: str | None) -> DataFrame:
     """The report row of a batch; videos without lots documents are failures."""
     listed = readers.batch_urls(spark, urls, batch_file)
-    lots = readers.lots(spark, f"{folder}/lots_*.json")
+    lots = readers.lots(spark, f"{folder}/lots_*.json").drop("pos")
     there = readers.documents(spark, f"{folder}/lots_*.json").select("video_id").distinct().withColumn("there", F.lit(True))
     answers = readers.documents(spark, f"{folder}/metadata_*.json").select("video_id", F.col("value").alias("response"))
     failures = listed.join(there, "video_id", "left").where("there is null").select("ordinal", F.lit("no lots for this video").alias("error"))
     info = listed.select("video_id", F.col("url").alias("video_url")).where("video_id is not null").dropDuplicates(["video_id"])
     report, text = auctions.run_batch(name or "batch", listed, auctions.auctions(info, answers), lots, failures, settings)
     report = report.persist()
-    writers.write_report(report, text, output)
+    with auctions.stage(spark, "Write the batch report"):
+        writers.write_report(report, text, output)
     return report
 
 
 def evaluate(spark: SparkSession, folder: str, reference: str, output: str) -> DataFrame:
-    """Agreement by video of the folder's lots with reference lots."""
+    """Agreement by video of the folder's lots with reference lots; of lots with one number the last counts."""
     found, wanted = readers.lots(spark, f"{folder}/lots_*.json"), readers.lots(spark, f"{reference}/lots_*.json")
-    result = evaluation.agreement(wanted, found, ["video_id", "lot_number"], ["video_id"])
+    result = evaluation.agreement(wanted, found, ["video_id", "lot_number"], ["video_id"], order="pos")
     result.write.mode("overwrite").json(f"{output}/evaluation")
     return result
 
 
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
-    settings = auctions.Settings(window_size=a.window_size, overlap=a.overlap, stop_on_error=getattr(a, "stop_on_error", False))
+    named = {"provider": "provider", "transcriber": "transcriber", "screenshot_interval": "frame_interval", "ocr_video_height": "video_height", "confidence": "confidence", "stop_on_error": "stop_on_error"}
+    settings = auctions.Settings(window_size=a.window_size, overlap=a.overlap, **{to: getattr(a, of) for of, to in named.items() if hasattr(a, of)})
     spark = SparkSession.builder.appName(f"sparkyard {a.command}").getOrCreate()
     if a.command == "extract":
         extract(spark, a.folder, a.output, settings, a.responses, a.verdicts, not a.no_resume).groupBy("video_id").count().show(truncate=False)
         return 0
+    if a.command == "run":
+        found, lots = run(spark, a.folder, a.output, settings, a.urls, a.batch_file, a.responses, a.verdicts, a.facts, not a.no_resume)
+        if a.show_metadata:
+            found.drop("value", "title", "description").show(truncate=False)
+        if a.show_summary:
+            reports.summary_view(summaries.auction_summary(lots)).show(truncate=False)
+        if a.show_table:
+            reports.lots_view(lots).show(truncate=False)
+        return 0
     if a.command == "evaluate":
         evaluate(spark, a.folder, a.reference, a.output).show(truncate=False)
         return 0
@@ -101,6 +166,11 @@ def main(argv: list[str] | None = None) -> int:
         print("give at least one URL or --batch-file", file=sys.stderr)
         return 2
     report = batch(spark, a.folder, a.output, settings, a.urls, a.batch_file, a.batch_name)
+    items = report.select(F.inline("items"))
+    reports.batch_view(items).show(truncate=False)
+    top = report.select("top_price_categories").first()[0]
+    if top:
+        reports.price_view(items.withColumn("category_prices", F.map_from_entries("category_prices")), top).show(truncate=False)
     failed = report.select("totals.failed").first()[0]
     if failed:
         print(f"{failed} batch item(s) failed", file=sys.stderr)

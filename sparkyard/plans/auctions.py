@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.operators import lots as L
 from sparkyard.operators import parsing, reports, summaries, timeline
 from sparkyard.sources.readers import metadata
+from sparkyard.sources.writers import StageTable, result_document
 
-from .providers import Provider
+from .providers import Called, Provider
 
 
 @dataclass(frozen=True)
@@ -57,8 +62,23 @@ def fenced(lots: DataFrame) -> DataFrame:
     return L.flag_outliers(lots, L.fences(lots, ["video_id"], "unit_price"), ["video_id"], "unit_price")
 
 
+def stored(provider: Provider, spark: SparkSession) -> Provider:
+    """provider with a place for its answers, since plans read them more than once and each question is put once.
+
+    Without one of its own a calling provider gets a folder of this run's in the folder that the
+    cluster names for checkpoints.
+    """
+    if not isinstance(provider, Called) or provider.store is not None:
+        return provider
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        raise ValueError("answers need a folder to be kept in: give the provider a store or set spark.checkpoint.dir")
+    return replace(provider, store=f"{shared}/answers-{uuid.uuid4().hex}")
+
+
 def extract(windows: DataFrame, provider: Provider, settings: Settings = Settings()) -> DataFrame:
-    """Final lots of all videos. Answers are used once each, so store them when they cost money."""
+    """Final lots of all videos; every question is put to the provider once."""
+    provider = stored(provider, windows.sparkSession)
     flagged = fenced(merged_lots(provider.extract(windows), windows))
     verdicts = provider.verify(L.evidence_packets(flagged, windows, settings.window_size, settings.overlap))
     done = L.settle(L.apply_verdicts(flagged, verdicts))
@@ -66,6 +86,17 @@ def extract(windows: DataFrame, provider: Provider, settings: Settings = Setting
     return done.select(*names)
 
 
+def results(info: DataFrame, windows: DataFrame, lots: DataFrame, provider: Provider) -> DataFrame:
+    """(video_id, video_url, facts, value): auctions with their result documents, lots included.
+
+    info: video_id, video_url, title, description. A video whose metadata answer is missing or
+    unreadable has no facts, but a document all the same.
+    """
+    provider = stored(provider, windows.sparkSession)
+    found = auctions(info, provider.metadata(timeline.head_context(windows, info)))
+    return found.join(result_document(found, lots), "video_id")
+
+
 def auctions(info: DataFrame, answers: DataFrame) -> DataFrame:
     """(video_id, video_url, date, ..., notes): facts from metadata answers (video_id, response)."""
     facts = metadata(answers, "response").drop("response", "odd_fields")
@@ -89,3 +120,22 @@ def run_batch(name: str, urls: DataFrame, auctions_: DataFrame, lots: DataFrame,
 
 #: Stages whose tables a fresh run clears; media files stay.
 STAGES = ("video_info", "transcript", "screenshots", "ocr_results", "lots", "metadata", "result")
+
+
+def start_afresh(spark: SparkSession, root: str, keys: DataFrame, **parameters: object) -> None:
+    """Forget what all stages under root know of the videos in keys."""
+    for name in STAGES:
+        StageTable(spark, f"{root}/{name}", **parameters).clear(keys)
+
+
+@contextmanager
+def stage(spark: SparkSession, name: str) -> Iterator[None]:
+    """Jobs inside are described by name; the time they took is told when they end."""
+    began = time.monotonic()
+    spark.sparkContext.setJobDescription(name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setJobDescription(None)
+        minutes, seconds = divmod(int(time.monotonic() - began), 60)
+        print(f"{name}: {minutes}m {seconds:02d}s")

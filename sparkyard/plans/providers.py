@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkyard.operators.timeline import confident_text
+from sparkyard.sources.writers import AnswerTable
 
 # Model of each provider when none is named.
 DEFAULT_MODELS = {
@@ -34,6 +35,13 @@ class Provider(Protocol):
     def verify(self, packets: DataFrame) -> DataFrame | None:
         """(video_id, lot_number, response) for evidence packets; None: no verification."""
 
+    def metadata(self, contexts: DataFrame) -> DataFrame:
+        """(video_id, response) for contexts (video_id, context); a null response: nothing is known."""
+
+
+def _nothing_known(contexts: DataFrame) -> DataFrame:
+    return contexts.select("video_id", F.lit(None).cast("string").alias("response"))
+
 
 @dataclass
 class Recorded:
@@ -41,6 +49,12 @@ class Recorded:
 
     responses: DataFrame
     verdicts: DataFrame | None = None
+    facts: DataFrame | None = None
+
+    def metadata(self, contexts: DataFrame) -> DataFrame:
+        if self.facts is None:
+            return _nothing_known(contexts)
+        return contexts.select("video_id").join(self.facts.select("video_id", "response"), "video_id", "left")
 
     def extract(self, windows: DataFrame) -> DataFrame:
         return self.responses.join(windows.select("video_id", "window_idx"), ["video_id", "window_idx"], "left_semi")
@@ -70,13 +84,25 @@ class Called:
     """Answers by a function from prompt to text, one call a row; an error becomes a row's error.
 
     The function returns the text, or the text and the tokens read and written. A window's answer
-    depends on that window alone, so windows run in parallel; see `sequential` for prompts that
-    list the lots found so far.
+    depends on that window alone, so windows run in parallel; with `in_order` the windows of a
+    video follow each other, and each prompt lists the lots found before. With `store`, a folder,
+    answers are kept there and no question that has one is put again; without it a plan that reads
+    answers more than once refuses to run.
     """
 
     complete: Callable[[str], str | tuple[str, int, int]]
     extraction_prompt: str = ""
     verify_prompt: str | None = None
+    metadata_prompt: str | None = None
+    in_order: bool = False
+    store: str | None = None
+    model: str = ""
+
+    def _kept(self, what: str, questions: DataFrame, keys: list[str], call: Callable[[DataFrame], DataFrame], **parameters: object) -> DataFrame:
+        """call's answers, put once; from the store, if there is one."""
+        if self.store is None:
+            return call(questions)
+        return AnswerTable(questions.sparkSession, f"{self.store}/{what}", model=self.model, **parameters).ask(questions, keys, call)
 
     def _asked(self, rows: DataFrame, keys: list[str], prompt: str, body: str) -> DataFrame:
         complete = with_retries(self.complete)
@@ -106,37 +132,69 @@ class Called:
         return kept.mapInPandas(run, f"{types}, response string, input_tokens bigint, output_tokens bigint, error string")
 
     def extract(self, windows: DataFrame) -> DataFrame:
-        text = windows.withColumn("body", F.concat(F.lit("["), "label", F.lit("]\n"), "combined_text"))
-        return self._asked(text, ["video_id", "window_idx"], self.extraction_prompt, "body")
+        if self.in_order:
+            ask = with_retries(self.complete)
+            call = lambda rows: sequential(rows, lambda text, prior: ask(f"{self.extraction_prompt}\n\n{prior_context(prior)}\n\n{text}"), numbers_in)
+        else:
+            call = lambda rows: self._asked(rows.withColumn("body", F.concat(F.lit("["), "label", F.lit("]\n"), "combined_text")), ["video_id", "window_idx"], self.extraction_prompt, "body")
+        return self._kept("responses", windows, ["video_id", "window_idx"], call, prompt=self.extraction_prompt, in_order=self.in_order)
 
     def verify(self, packets: DataFrame) -> DataFrame | None:
         if self.verify_prompt is None:
             return None
-        return self._asked(packets, ["video_id", "lot_number"], self.verify_prompt, "packet").select("video_id", "lot_number", "response")
+        call = lambda rows: self._asked(rows, ["video_id", "lot_number"], self.verify_prompt, "packet")
+        return self._kept("verdicts", packets, ["video_id", "lot_number"], call, prompt=self.verify_prompt).select("video_id", "lot_number", "response")
+
+    def metadata(self, contexts: DataFrame) -> DataFrame:
+        """One call a video; a failed one knows nothing."""
+        if self.metadata_prompt is None:
+            return _nothing_known(contexts)
+        call = lambda rows: self._asked(rows, ["video_id"], self.metadata_prompt, "context")
+        return self._kept("facts", contexts, ["video_id"], call, prompt=self.metadata_prompt).select("video_id", "response")
 
 
-def sequential(windows: DataFrame, ask: Callable[[str, list[int]], str], found_in: Callable[[str], list[int]]) -> DataFrame:
-    """(video_id, window_idx, response, error): windows of a video in order, each told the lots before it.
+def prior_context(prior: list[int]) -> str:
+    """What a window's prompt says of the lots found before it."""
+    return f"Lotes já encontrados (não repetir): {prior or 'nenhum ainda'}"
+
+
+def numbers_in(response: str) -> list[int]:
+    """Numbers of the lots in an answer's first list; none where it has no list."""
+    at = response.find("[")
+    try:
+        listed, _ = json.JSONDecoder().raw_decode(response, at) if at >= 0 else ([], 0)
+    except ValueError:
+        return []
+    named = (x.get("lot_number") for x in listed if isinstance(x, dict))
+    return [int(n) for n in named if str(n).strip().isdigit()]
+
+
+def sequential(windows: DataFrame, ask: Callable[[str, list[int]], str | tuple[str, int, int]], found_in: Callable[[str], list[int]]) -> DataFrame:
+    """(video_id, window_idx, response, input_tokens, output_tokens, error): windows of a video in order, each told the lots before it.
 
     ask(text, prior lot numbers) answers; found_in(response) reads its lot numbers. Videos run in
     parallel; a failed call skips its window.
     """
 
     def run(pdf):
+        import pandas as pd
+
         prior: set[int] = set()
-        answers, errors = [], []
+        rows = []
         pdf = pdf.sort_values("window_idx")
-        for text in pdf["combined_text"]:
+        for label, text in zip(pdf["label"], pdf["combined_text"], strict=True):
             try:
-                answers.append(ask(text, sorted(prior)))
-                errors.append(None)
-                prior |= set(found_in(answers[-1]))
+                said = ask(f"[{label}]\n{text}", sorted(prior))
+                said = said if isinstance(said, tuple) else (said, None, None)
+                prior |= set(found_in(said[0]))
+                rows.append((*said, None))
             except Exception as e:
-                answers.append(None)
-                errors.append(str(e)[:400])
-        return pdf[["video_id", "window_idx"]].assign(response=answers, error=errors)
+                rows.append((None, None, None, str(e)[:400]))
+        out = pd.DataFrame(rows, columns=["response", "input_tokens", "output_tokens", "error"], dtype=object, index=pdf.index)
+        return pd.concat([pdf[["video_id", "window_idx"]], out.astype({"input_tokens": "Int64", "output_tokens": "Int64"})], axis=1)
 
-    return windows.select("video_id", "window_idx", "combined_text").groupBy("video_id").applyInPandas(run, "video_id string, window_idx int, response string, error string")
+    schema = "video_id string, window_idx int, response string, input_tokens bigint, output_tokens bigint, error string"
+    return windows.select("video_id", "window_idx", "label", "combined_text").groupBy("video_id").applyInPandas(run, schema)
 
 
 #: LOTE | farm | VALORPORANIMAL | lot | R$ | price | NCATEGORY-AGEM-BREED
@@ -167,6 +225,9 @@ class Overlay:
     def verify(self, packets: DataFrame) -> DataFrame | None:
         return None
 
+    def metadata(self, contexts: DataFrame) -> DataFrame:
+        return _nothing_known(contexts)
+
 
 def screen_text(frames: DataFrame, detect: Callable[[bytes], list[tuple[str, float]]], least: float = 0.4) -> DataFrame:
     """(video_id, ocr_idx, ts, tokens) of frames (video_id, frame_idx, ts, content); no image: no tokens."""

@@ -544,6 +544,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = _priced(spark, sf_dir)
     flagged = lots.flag_outliers(priced, lots.fences_of_large_groups(priced, ["l_returnflag"], "u"), ["l_returnflag"], "u")
     settled = lots.fill_total(lots.repair(flagged, "u", "t", "n", "lo", "hi"), "u", "t", "n")
-    done = summaries.group_summary(settled.withColumn("sold", F.col("l_linestatus") == "F"), ["l_returnflag"], "n", "u", "sold")
-    flags = flagged.groupBy("l_returnflag").agg(F.count_if("outlier").alias("outliers"))
-    return done.join(flags, "l_returnflag").withColumn("avg_price", F.round("avg_price", 2))
+    done = summaries.group_summary(settled.withColumn("sold", F.col("l_linestatus") == "F"), ["l_returnflag"], "n", "u", "sold", [F.count_if("outlier").alias("outliers")])
+    return done.withColumn("avg_price", F.round("avg_price", 2))

@@ -17,34 +17,59 @@ _ID = r"(?:^|/)(?:video_info|transcript|screenshots|ocr_results|lots|metadata|re
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, video_id, value): whole text files, the id taken from the file name."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return named(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """(path, video_id, value) of rows (path, value)."""
     return rows.select("path", F.nullif(F.regexp_extract("path", _ID, 1), F.lit("")).alias("video_id"), "value")
 
 
+#: A document that is no such JSON raises an error; see `tolerant` for reading past it.
+_STRICT = {"mode": "FAILFAST"}
+
+
 def _array(rows: DataFrame, element: str, index: str) -> DataFrame:
-    parsed = rows.select("video_id", F.posexplode(F.from_json("value", f"array<struct<{element}>>")).alias(index, "__e"))
+    parsed = rows.select("video_id", F.posexplode(F.from_json("value", f"array<struct<{element}>>", _STRICT)).alias(index, "__e"))
     return parsed.select("video_id", index, "__e.*")
 
 
+def segments_of(rows: DataFrame) -> DataFrame:
+    """(video_id, seg_idx, start, end, text) of rows (video_id, value); a corrupt document raises an error."""
+    return _array(rows, "start:double,end:double,text:string", "seg_idx")
+
+
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    return _array(documents(spark, path), "start:double,end:double,text:string", "seg_idx")
+    return segments_of(documents(spark, path))
+
+
+def frames_of(rows: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, seconds, ts, path) of rows (video_id, value)."""
+    found = _array(rows, "seconds:int,timestamp_str:string,path:string", "frame_idx")
+    return found.select("video_id", "frame_idx", "seconds", F.col("timestamp_str").alias("ts"), "path")
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    rows = _array(documents(spark, path), "seconds:int,timestamp_str:string,path:string", "frame_idx")
-    return rows.select("video_id", "frame_idx", "seconds", F.col("timestamp_str").alias("ts"), "path")
+    return frames_of(documents(spark, path))
+
+
+def ocr_of(rows: DataFrame) -> DataFrame:
+    """(video_id, ocr_idx, ts, tokens) of JSON objects of token lists by time (video_id, value).
+
+    Of a repeated time the last tokens count, at the first one's place.
+    """
+    entries = F.map_entries(F.from_json("value", "map<string,array<string>>", _STRICT))
+    found = rows.select("video_id", F.posexplode(entries).alias("i", "__e")).select("video_id", "i", F.col("__e.key").alias("ts"), F.col("__e.value").alias("tokens"))
+    return found.groupBy("video_id", "ts").agg(F.min("i").alias("ocr_idx"), F.max_by("tokens", "i").alias("tokens")).select("video_id", "ocr_idx", "ts", "tokens")
 
 
 def ocr(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, ocr_idx, ts, tokens) of JSON objects of token lists by time."""
-    entries = F.map_entries(F.from_json("value", "map<string,array<string>>"))
-    rows = documents(spark, path).select("video_id", F.posexplode(entries).alias("ocr_idx", "__e"))
-    return rows.select("video_id", "ocr_idx", F.col("__e.key").alias("ts"), F.col("__e.value").alias("tokens"))
+    return ocr_of(documents(spark, path))
 
 
 def lots(spark: SparkSession, path: str) -> DataFrame:
-    """Stored lots, re-validated and with prices re-read; an invalid one raises an error."""
-    return lots_of_text(documents(spark, path).drop("path")).drop("pos")
+    """Stored lots with their place `pos`, re-validated and with prices re-read; an invalid one raises an error."""
+    return lots_of_text(documents(spark, path).drop("path"))
 
 
 def metadata(rows: DataFrame, text: str = "value") -> DataFrame:
@@ -65,13 +90,19 @@ def video_info(rows: DataFrame) -> DataFrame:
     return rows.select("video_id", F.coalesce("title", F.lit("")).alias("title"), clip("description", 2000).alias("description"))
 
 
+def listed_urls(rows: DataFrame, text: str = "value") -> DataFrame:
+    """rows once for each URL of their lines, with its line: blank lines and those that start with # are left out."""
+    kept = [c for c in rows.columns if c != text]
+    lines = rows.select(*kept, F.posexplode(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("line", "url")).withColumn("url", strip("url"))
+    return lines.where(~F.col("url").startswith("#") & (F.col("url") != ""))
+
+
 def batch_urls(spark: SparkSession, urls: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """(ordinal, url, video_id): given URLs first, then a file's lines without blanks and comments."""
     given = spark.createDataFrame([(0, i, u.strip()) for i, u in enumerate(urls) if u.strip()], "part int, line bigint, url string")
     if path:
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("line", "url"))
-        listed = lines.select(F.lit(1).alias("part"), F.col("line").cast("bigint").alias("line"), strip("url").alias("url"))
-        given = given.unionByName(listed.where(~F.col("url").startswith("#") & (F.col("url") != "")))
+        listed = listed_urls(spark.read.text(path, wholetext=True))
+        given = given.unionByName(listed.select(F.lit(1).alias("part"), F.col("line").cast("bigint").alias("line"), "url"))
     from pyspark.sql import Window
 
     numbered = given.withColumn("ordinal", F.row_number().over(Window.orderBy("part", "line")))  # a list of URLs, not data

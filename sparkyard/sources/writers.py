@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,44 +71,90 @@ def fingerprint(**parameters: object) -> Column:
     return F.sha2(F.lit(text), 256)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class StageTable:
-    """A stage's results as Parquet by video, each with the fingerprint of the parameters that made it."""
+    """A stage's results as Parquet by video, each with the run and the parameters that made it.
+
+    `rows` holds results, `done` which keys a run has completed, so a key without any result is
+    known to be done. A run writes its rows first and its keys then; what a run that broke off has
+    left is never read. The last run of a key counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str, **parameters: object):
         self.spark, self.path, self.parameters = spark, path, parameters
 
-    def _all(self) -> DataFrame | None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.parquet(self.path) if there else None
+    def _done(self, key: str) -> DataFrame | None:
+        """(key, run) of the keys that are completed with these parameters."""
+        if not _there(self.spark, f"{self.path}/done"):
+            return None
+        marks = self.spark.read.parquet(f"{self.path}/done").where(F.col("fingerprint") == fingerprint(**self.parameters))
+        return marks.groupBy(key).agg(F.max_by("run", "at").alias("run")).where("run is not null")
 
-    def present(self) -> DataFrame | None:
-        """Rows made with these parameters."""
-        rows = self._all()
-        return None if rows is None else rows.where(F.col("fingerprint") == fingerprint(**self.parameters)).drop("fingerprint")
+    def present(self, key: str = "video_id") -> DataFrame | None:
+        """Rows made with these parameters; None before the first run."""
+        done = self._done(key)
+        if done is None or not _there(self.spark, f"{self.path}/rows"):
+            return None
+        return self.spark.read.parquet(f"{self.path}/rows").join(done, [key, "run"], "left_semi").drop("run")
 
     def missing(self, wanted: DataFrame, key: str = "video_id") -> DataFrame:
-        """Keys of wanted that have no result yet; failed ones (column error) don't count as results."""
-        rows = self.present()
-        if rows is None:
-            return wanted
-        done = rows.where("error is null") if "error" in rows.columns else rows
-        return wanted.join(done.select(key).distinct(), key, "left_anti")
-
-    def put(self, rows: DataFrame, key: str = "video_id") -> None:
-        """Replace the partitions of the keys in rows; others stay."""
-        marked = rows.withColumn("fingerprint", fingerprint(**self.parameters))
-        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self.path)
+        """Keys of wanted that are not completed yet."""
+        done = self._done(key)
+        return wanted if done is None else wanted.join(done, key, "left_anti")
+
+    def put(self, rows: DataFrame, keys: DataFrame, key: str = "video_id") -> None:
+        """Results of keys, in place of earlier ones; keys with a row that has an `error` don't count as completed."""
+        run, folder = uuid.uuid4().hex, f"{self.path}/rows"
+        named = rows.withColumn("run", F.lit(run))
+        # a column of the run's, not of the folder's, so that a run without rows leaves a schema behind
+        named.write.mode("append").parquet(folder)
+        if "error" in rows.columns:
+            failed = self.spark.read.schema(named.schema).parquet(folder).where((F.col("run") == run) & F.col("error").isNotNull())
+            keys = keys.join(failed, key, "left_anti")
+        self._mark(keys.select(key), run)
+
+    def _mark(self, keys: DataFrame, run: str | None) -> None:
+        marks = keys.distinct().select("*", fingerprint(**self.parameters).alias("fingerprint"), F.lit(run).cast("string").alias("run"), F.current_timestamp().alias("at"))
+        marks.write.mode("append").parquet(f"{self.path}/done")
 
     def fill(self, wanted: DataFrame, make: Callable[[DataFrame], DataFrame], key: str = "video_id") -> DataFrame:
-        """Results for all of wanted; only missing ones are made."""
-        self.put(make(self.missing(wanted, key)), key)
-        return self.present().join(wanted.select(key).distinct(), key, "left_semi")
-
-    def clear(self, key: str, values: Sequence[str]) -> None:
-        """Delete the partitions of some keys."""
-        jvm = self.spark._jvm
-        for v in values:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}={v}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Results for all of wanted; only missing ones are made, and kept even where they have an error."""
+        keys = self.missing(wanted, key).select(key).distinct()
+        if not keys.isEmpty():
+            self.put(make(keys), keys, key)
+        # of keys that failed again, the last run's rows
+        rows = self.present(key)
+        return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+    def clear(self, keys: DataFrame, key: str = "video_id") -> None:
+        """Forget the results of keys; they are made anew when next wanted."""
+        if _there(self.spark, f"{self.path}/done"):
+            self._mark(keys.select(key), None)
+
+
+class AnswerTable:
+    """Answers that cost money or time, a row a question, kept as soon as a run of questions ends.
+
+    Each question is put once: the answers are written before anything reads them, and a question
+    with an answer (an empty one too) is not put again. One whose call failed is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, **parameters: object):
+        self.spark, self.path, self.parameters = spark, path, parameters
+
+    def ask(self, questions: DataFrame, keys: Sequence[str], call: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """call's rows (keys, response, ..., error) for all questions."""
+        mark = fingerprint(**self.parameters)
+        kept = lambda: self.spark.read.parquet(self.path).where(F.col("fingerprint") == mark)
+        todo = questions
+        if _there(self.spark, self.path):
+            todo = questions.join(kept().where("error is null").select(*keys), list(keys), "left_anti")
+        call(todo).withColumns({"fingerprint": mark, "at": F.current_timestamp()}).write.mode("append").parquet(self.path)
+        answers = kept()
+        rest = [c for c in answers.columns if c not in (*keys, "fingerprint", "at")]
+        last = answers.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col("error").isNull(), "at")).alias("__a")).select(*keys, "__a.*")
+        return last.join(questions.select(*keys), list(keys), "left_semi")

@@ -39,6 +39,71 @@ def test_extract_with_recorded_answers(spark, evidence):
     assert plain[11] is None and plain[3] == 3030.0
 
 
+def test_every_question_is_put_once(spark, evidence, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    listed = json.dumps([lot(i, 3000.0 + i) for i in range(1, 7)] + [lot(8, 90000.0)])
+
+    def answer(prompt):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(prompt)
+        if "fim" in prompt and len(list(asked.iterdir())) < 6:
+            raise RuntimeError("boom")
+        return listed if "LOTE 01" in prompt and "verify" not in prompt else "[]"
+
+    provider = providers.Called(answer, "extract", "verify", "facts", store=f"{tmp_path}/answers")
+    got = auctions.extract(evidence, provider)
+    assert got.count() == 7 and {r.unit_price for r in got.where("lot_number = 8").collect()} == {None}
+    # four windows, one of them failed, and one outlier
+    prompts = [p.read_text() for p in asked.iterdir()]
+    assert sum(p.startswith("extract") for p in prompts) == 4 and sum(p.startswith("verify") for p in prompts) == 1
+    assert auctions.extract(evidence, provider).count() == 7
+    # empty answers are answers; only the failed window is asked again
+    assert len(list(asked.iterdir())) == 6
+    info = spark.createDataFrame([("v", "url", "Leilão", None), ("u", None, None, None)], "video_id string, video_url string, title string, description string")
+    for _ in range(2):
+        found = {r.video_id: json.loads(r.value) for r in auctions.results(info, evidence, got, provider).collect()}
+        assert found["v"]["total_lots"] == 7 and found["v"]["video_url"] == "url" and found["u"]["lots"] == [] and found["u"]["city"] is None
+        assert len(list(asked.iterdir())) == 8
+
+
+def test_prior_lots(spark, evidence, tmp_path):
+    two = [lot(2, 3000.0), lot(1, 3000.0)]
+
+    def answer(prompt):
+        prior = prompt.split("repetir): ")[1].split("\n")[0]
+        if "fim" in prompt:
+            raise RuntimeError("500")
+        return f"said {json.dumps([x | {'notes': prior} for x in two])}", 5, 1
+
+    rows = providers.Called(answer, "p", in_order=True, store=f"{tmp_path}/a").extract(evidence).orderBy("video_id", "window_idx").collect()
+    assert [(r.video_id, r.window_idx, r.error, r.input_tokens) for r in rows] == [("u", 0, None, 5), ("v", 0, None, 5), ("v", 1, None, 5), ("v", 2, "500", None)]
+    notes = [json.loads(r.response[5:])[0]["notes"] for r in rows[:3]]
+    assert notes == ["nenhum ainda", "nenhum ainda", "[1, 2]"]
+    assert providers.numbers_in("no list") == [] == providers.numbers_in("[1, {") and providers.numbers_in('x [{"lot_number": "7"}, 3] y') == [7]
+
+
+def test_matrix(spark, tmp_path):
+    import time
+
+    from sparkyard.plans import matrix
+
+    def slow():
+        time.sleep(20)
+
+    def broken():
+        raise RuntimeError("no key")
+
+    runs = matrix.run_all(spark, {"a/b": lambda: spark.range(3), "c": broken, "d": slow}, f"{tmp_path}/runs", timeout=6.0)
+    assert {r.model: r.status for r in runs.collect()} == {"a/b": "ok", "c": "failed", "d": "timeout"}
+    assert spark.read.parquet(f"{tmp_path}/runs/model_dir=a_b").count() == 3
+    lots_ = spark.createDataFrame([("v", "a/b", 5.0), ("v", "a/b", None)], "video_id string, model string, unit_price double")
+    calls = spark.createDataFrame([("v", "a/b", 7, 2)], "video_id string, model string, input_tokens bigint, output_tokens bigint")
+    got = {(r.video_id, r.model): (r.status, r.lot_count, r.lots_with_price, r.llm_calls) for r in matrix.report(runs, lots_, calls, spark.createDataFrame([("v",), ("w",)], "video_id string")).collect()}
+    assert len(got) == 6 and got["v", "a/b"] == ("ok", 2, 1, 1) and got["w", "a/b"] == ("ok", 0, 0, 0) and got["v", "c"] == ("failed", 0, 0, 0)
+
+
 def test_providers(spark, evidence):
     calls = []
 
@@ -135,7 +200,13 @@ def test_empty_batch(spark):
 def test_views(spark):
     _, _, lots, _, _ = batch_of(spark)
     view = reports.summary_view(summaries.auction_summary(lots)).orderBy("video_id").first()
-    assert (view.avg_price, view.animals) == ("R$ 3,500.00", "bezerro: 10, garrote: 8")
+    assert (view.avg_price, view.male_animals, view.female_animals) == ("R$ 3,500.00", "bezerro: 10  |  garrote: 8", "")
+    assert view.male_prices == "bezerro: R$ 3,000.00  |  garrote: R$ 4,000.00"
+    urls, found, lots, failures, s = batch_of(spark)
+    items = auctions.batch(urls, found, lots, failures, s)
+    shown = [tuple(r) for r in reports.batch_view(items).collect()]
+    assert shown[0] == ("OK", "a", "01/02/2024", "-", "Santa Rita", "João", "2", "18", "R$ 3,500.00") and shown[1] == ("FAIL", "u2", *"-------") and shown[3][8] == "-"
+    assert [tuple(r) for r in reports.price_view(items, ["garrote"]).collect()] == [("a", "R$ 4,000.00"), ("c", "-"), ("d", "-")]
     assert [r.sold for r in reports.lots_view(lots.where("video_id = 'a'")).collect()] == ["yes", "-"]
 
 
@@ -165,6 +236,16 @@ def test_documents_round_trip(spark, tmp_path):
     assert (tmp_path / "models" / "model_dir=a_b_c").is_dir()
 
 
+def test_corrupt_and_repeated(spark):
+    rows = lambda *values: spark.createDataFrame([("v", v) for v in values], "video_id string, value string")
+    for read, cut in ((readers.segments_of, '[{"start": 0, "end": 1, "te'), (readers.ocr_of, '{"00:00:00": ["a"'), (readers.frames_of, "x")):
+        with pytest.raises(Exception):
+            read(rows(cut)).collect()
+    twice = readers.ocr_of(rows('{"00:00:00": ["a"], "00:00:30": ["b"], "00:00:00": ["c"]}')).orderBy("ocr_idx").collect()
+    assert [(r.ts, r.tokens) for r in twice] == [("00:00:00", ["c"]), ("00:00:30", ["b"])]
+    assert readers.segments_of(rows("[]")).count() == 0
+
+
 def test_urls_and_listings(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("# list\n\n https://youtu.be/b \nhttps://youtu.be/b\n#x\n")
     got = readers.batch_urls(spark, [" https://www.youtube.com/watch?v=a ", " "], f"{tmp_path}/urls.txt").orderBy("ordinal").collect()
@@ -195,12 +276,18 @@ def test_stage_table(spark, tmp_path):
         return keys.withColumns({"n": F.length("video_id"), "error": F.when(F.col("video_id") == "b", "failed")})
 
     stage = writers.StageTable(spark, f"{tmp_path}/stage", size=600)
-    assert stage.fill(wanted, make).count() == 3 and stage.fill(wanted, make).count() == 3
+    assert stage.fill(wanted, make).count() == 2 and stage.fill(wanted, make).count() == 2
     assert made == [["a", "b", "c"], ["b"]]
     other = writers.StageTable(spark, f"{tmp_path}/stage", size=300)
     assert other.missing(wanted).count() == 3
-    stage.clear("video_id", ["a"])
+    stage.clear(wanted.where("video_id = 'a'"))
     assert {r.video_id for r in stage.missing(wanted).collect()} == {"a", "b"}
+    # keys without any result are completed as well
+    none = writers.StageTable(spark, f"{tmp_path}/none")
+    made.clear()
+    for _ in range(2):
+        assert none.fill(wanted, lambda keys: make(keys).where("n > 9")).count() == 0
+    assert made == [["a", "b", "c"]]
 
 
 def test_streaming_windows(spark, tmp_path):
@@ -225,9 +312,16 @@ def test_command_line(spark, tmp_path, capsys):
     (folder / "transcript_a.json").write_text('[{"start": 0, "end": 1.5, "text": "olá"}]')
     (folder / "ocr_results_a.json").write_text('{"00:00:01": ["LOTE", "Boa Vista", "VALORPORANIMAL", "04", "R$", "3.100", "26BEZERRAS-08M-NELORE"]}')
     assert main(["extract", str(folder), str(out)]) == 0
-    got = spark.read.parquet(f"{out}/lots").first()
+    got = spark.read.parquet(f"{out}/lots/rows").first()
     assert (got.video_id, got.lot_number, got.total_price) == ("a", 4, 80600.0)
     assert main(["extract", str(folder), str(out)]) == 0
+    assert spark.read.parquet(f"{out}/lots/rows").count() == 1
+    (folder / "video_info_a.json").write_text('{"title": "Leilão", "description": null}')
+    for more in ([], ["--no-resume", "--show-table"]):
+        assert main(["run", str(folder), str(out), "https://youtu.be/a", "https://youtu.be/b", *more]) == 0
+        result = json.loads(spark.read.text(f"{out}/results/video_id=a", wholetext=True).first()[0])
+        assert result["total_lots"] == 1 and result["lots"][0]["total_price"] == 80600.0 and result["video_url"] == "https://youtu.be/a" and result["city"] is None
+    assert "Extract lots: 0m" in capsys.readouterr().out
     (folder / "lots_a.json").write_text(json.dumps([lot(1, 3000.0), lot(2, 4000.0)]))
     (folder / "metadata_a.json").write_text('{"farm": "Santa Rita"}')
     assert main(["batch", str(folder), str(out / "b"), "https://youtu.be/a"]) == 0
@@ -235,7 +329,9 @@ def test_command_line(spark, tmp_path, capsys):
     report = json.loads(spark.read.text(f"{out}/b/batch_summary").first()[0])
     assert report["totals"]["failed"] == 1 and report["items"][0]["auction_name"] == "Santa Rita"
     assert main(["batch", str(folder), str(out / "b")]) == 2
+    (folder / "lots_a.json").write_text(json.dumps([lot(1, 1.0, sex="x"), lot(2, 4000.0), lot(1, 3000.0)]))
     assert main(["evaluate", str(folder), str(out / "e"), str(folder)]) == 0
+    assert spark.read.json(f"{out}/e/evaluation").first().matched == 2
     assert spark.read.json(f"{out}/e/evaluation").first().coverage == 1.0
     assert writers.metadata_document(spark.createDataFrame([("a", None)], "video_id string, city string"), ["city"]).first().value == "{}"
     runs = spark.createDataFrame([("a", "m", "x" * 900)], "video_id string, model string, error string")
