@@ -21,8 +21,8 @@ def strict_json(text: Column | str) -> Column:
     t = col(text)
     array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
     object_ = F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}")))
-    single = F.try_variant_get(array, "$[0]", "variant").isNotNull() & F.try_variant_get(array, "$[1]", "variant").isNull()
-    return F.when(single & object_.isNotNull(), F.try_parse_json(t))
+    value = F.try_variant_get(array, "$[0]", "variant")
+    return F.when(value.isNotNull() & F.try_variant_get(array, "$[1]", "variant").isNull() & object_.isNotNull(), value)
 
 
 def kind(v: Column) -> Column:

@@ -59,9 +59,10 @@ def typed(rows: DataFrame, item: str) -> DataFrame:
 def response_items(responses: DataFrame, text: str = "response") -> DataFrame:
     """responses without the text, with pos and item (VARIANT) for each element of its JSON array."""
     kept = [c for c in responses.columns if c != text]
-    parsed = responses.withColumn("__t", strip(text)).withColumns({"__whole": J.strict_json("__t"), "__part": J.strict_json(F.regexp_extract("__t", J.FIRST_BRACKETS, 0))})
-    kinds = parsed.withColumns({"__kw": J.kind(F.col("__whole")), "__kp": J.kind(F.col("__part"))})
-    listed = kinds.withColumn("__array", F.when(F.col("__kw") == "ARRAY", F.col("__whole")).when(F.col("__kp") == "ARRAY", F.col("__part")))
+    whole = responses.withColumn("__t", strip(text)).withColumn("__whole", J.strict_json("__t")).withColumn("__kw", J.kind(F.col("__whole")))
+    # only what is no list as a whole is searched for one
+    parted = whole.withColumn("__part", F.when(F.col("__kw") != "ARRAY", J.strict_json(F.regexp_extract("__t", J.FIRST_BRACKETS, 0)))).withColumn("__kp", J.kind(F.col("__part")))
+    listed = parted.withColumn("__array", F.when(F.col("__kw") == "ARRAY", F.col("__whole")).when(F.col("__kp") == "ARRAY", F.col("__part")))
     return listed.select(*kept, F.posexplode(J.items(F.col("__array"))).alias("pos", "item"))
 
 

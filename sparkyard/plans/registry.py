@@ -27,11 +27,17 @@ def _query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    from . import registry_stages  # noqa: F401  adds its queries
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -512,13 +518,6 @@ def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", S.clip("text", 400).alias("error"), F.length(S.clip("text", 2000)).alias("kept"), S.dash(S.clip("text", 0)).alias("shown"))
 
 
-@_query("SELECT o_orderkey, (o_orderkey * 900)::DOUBLE AS start, ((o_orderkey % 3) * 900 + 0.5)::DOUBLE AS moved FROM orders")
-def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("chunk"), F.lit(0.5).alias("start"), F.lit(1.0).alias("end"))
-    moved = timeline.shift_chunks(o, "chunk")
-    return moved.select("o_orderkey", (F.col("o_orderkey") * 900).cast("double").alias("start"), F.col("start").cast("double").alias("moved"))
-
-
 @_query("SELECT e.event_id, list_filter([event_type, 'u' || user_id], lambda t, i: ([value / 100, 1 - value / 100])[i] >= 0.4) AS tokens FROM events e")
 def confident_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.array(F.struct(F.col("event_type").alias("text"), (F.col("value") / 100).alias("confidence")), F.struct(F.concat(F.lit("u"), "user_id").alias("text"), (1 - F.col("value") / 100).alias("confidence")))

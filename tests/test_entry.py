@@ -31,7 +31,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["overlap_windows", "assemble_text", "tukey_bounds", "sanity_repair", "burst_guard", "compare", "parse_responses", "notes_inference"])
+@pytest.mark.parametrize("name", ["overlap_windows", "assemble_text", "tukey_bounds", "sanity_repair", "burst_guard", "compare", "parse_responses", "notes_inference", "ocr_documents", "document_arrays", "verdict_application", "extracted_lots", "batch_markdown"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
