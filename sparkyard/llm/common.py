@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import tempfile
@@ -60,16 +61,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cuts_below(key: Column, cuts: list, literal: Callable[[object], Column]) -> Column:
-    """How many of the ascending cuts are at or below key: a coarse look, then a fine one, so the square root of their number."""
+def known_array(values: list, element: str) -> Column:
+    """An array of values as one expression, however long; the optimizer turns it into a constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{element}>")
+
+
+def cuts_below(key: Column, cuts: list, element: str = "bigint") -> Column:
+    """How many of the ascending cuts (of type element) are at or below key, by binary search."""
     if not cuts:
         return F.lit(0)
-    width = max(1, round(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    coarse = below(F.array(*(literal(g[0]) for g in groups)))
-    fine = F.array(*(F.array(*map(literal, g)) for g in groups))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+    n, known = len(cuts), known_array(cuts, element)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    at = lambda p: F.element_at(known, F.least(p, F.lit(n)))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (at(p + s) <= key), p + s).otherwise(p))
 
 
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:

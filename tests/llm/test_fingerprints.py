@@ -62,10 +62,25 @@ def test_edges(spark):
 
 def test_equal_digests_are_told_apart(spark):
     weak = lambda form: F.substring(form, 1, 1)
-    df = spark.createDataFrame([("ab",), ("ac",), ("ab",), ("b",)], "form string")
-    rows = df.select("form", weak(F.col("form")).alias("fingerprint"), F.sha2("form", 256).alias("__tag"))
-    got = {r.form: r.fingerprint for r in fp._told_apart(rows, df, weak).collect()}
-    assert len(set(got.values())) == 3 and got["b"] == "b"
+    docs = [(i, t) for i, t in enumerate(TEXTS + ["ab cd", "ab ce", "ab cd", "abc", "xy", "ab  CE"])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want, form_of = expected(docs), {}
+    for r in edited_fingerprints(df, digest=weak).collect():
+        assert form_of.setdefault(r.fingerprint, want[r.doc_id][2]) == want[r.doc_id][2]
+        assert form_of.setdefault(r.edited_fingerprint, want[r.doc_id][3]) == want[r.doc_id][3]
+    assert len(form_of) == len(set(form_of.values())) and any("~" in f for f in form_of)
+
+
+def test_cuts_below(spark):
+    from sparkyard.llm.common import cuts_below
+
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 8, 500):
+        cuts = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)] + [5] * (n > 3)
+        cuts.sort()
+        keys = [*cuts, *(c + 1 for c in cuts), -(1 << 63), (1 << 63) - 1]
+        df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+        assert [r[0] for r in df.select(cuts_below(F.col("k"), cuts)).collect()] == [sum(c <= k for c in cuts) for k in keys]
 
 
 def test_fingerprints(spark):
