@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import shutil
@@ -61,6 +62,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's memory is collected, which may be long after their last use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of files that df reads, by the optimizer's estimate; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def known_array(values: list, element: str) -> Column:
     """An array of values as one expression, however long; the optimizer turns it into a constant."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{element}>")

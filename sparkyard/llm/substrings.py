@@ -8,14 +8,20 @@ equal anchors, so they meet in one task. Copies inside a portion of a task are s
 only the copy of the smallest id travels, so an edge of any frequency costs a row a portion.
 
 Each task finds the edges that a document with a smaller id also has, with the source's
-coordinates (id, word). Edges that advance in step with their source are a nonbranching repeated
-path; a path leaves the task as one span (start, edges, source id, source start). A join on the
-documents' keys brings a document's spans together; spans that continue each other, in the
-document and in the source, are compacted across tasks, and the words under them are removed.
+coordinates (id, digest of the text, word). Edges that advance in step with their source are a
+nonbranching repeated path; a path leaves the task as one span. Spans of a document that continue
+each other, there and in the source, are compacted across tasks.
+
+Hashes only propose. Every compacted span is verified: the words at its own coordinates and those
+at the source's are read from the documents again and digested by BLAKE2b; spans whose digests
+differ (words with one hash) are given up, and their windows are looked up by their words. A last
+join on the documents' keys removes the words under what is left. What a step has shuffled is
+released before the next one, so that the two passes over the texts don't add to the first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fields, small_batches
+from .common import BATCH_BYTES, by_bytes, checkpointed, fields, plan_bytes, release, small_batches
 
 #: Words of a window, and of the runs among which its anchor is found.
 K, ANCHOR = 13, 5
-#: Parts that a shuffle partition is settled in, one after the other.
-PARTS = 8
+#: Parts that a shuffle partition is settled in, one after the other; bytes of files for a part, and most parts: beyond
+#: them the paths of a portion get too short to pack well.
+PARTS, PART_BYTES, MOST_PARTS = 8, 32 << 20, 50_000
+#: Windows to be looked up by their words that travel to all tasks.
+SENT = 10_000
 #: Rank of a null id: after all others.
 _LAST = (1 << 63) - 1
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,7 +63,7 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _edges(texts: list[str]) -> tuple[np.ndarray, ...]:
+def _edges(texts: list[str], bits: int = 64) -> tuple[np.ndarray, ...]:
     """index of each window's first word among all words, its hash and anchor; text of each word; first word of each text."""
     import pandas as pd
 
@@ -69,6 +78,8 @@ def _edges(texts: list[str]) -> tuple[np.ndarray, ...]:
     flat = np.empty(len(owner), object)
     flat[:] = [w for ws in split for w in ws]
     hashes = pd.util.hash_array(flat, categorize=False)
+    if bits < 64:
+        hashes = hashes >> np.uint64(64 - bits)
     del flat, split
     runs = _rolled(hashes, ANCHOR, _P)
     anchor = runs[:n].copy()
@@ -105,13 +116,17 @@ def _later_copies(edge: np.ndarray, anchor: np.ndarray, rank: np.ndarray) -> tup
     return order[later][back], source[later][back]
 
 
-def _spans(row: np.ndarray, word: np.ndarray, source_rank: np.ndarray, source_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of spans, and the spans (start, edges, source, source start), of edges sorted by row and word."""
+def _spans(row: np.ndarray, word: np.ndarray, source: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of spans, and the spans (start, edges, source rank, source start, source tag), of edges sorted by row and word.
+
+    source: rank, word and tag of each edge's source.
+    """
+    rank, at, tag = source
     step = np.ones(len(row), bool)
-    step[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1] + 1) | (source_rank[1:] != source_rank[:-1]) | (source_word[1:] != source_word[:-1] + 1)
+    step[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1] + 1) | (rank[1:] != rank[:-1]) | (at[1:] != at[:-1] + 1) | (tag[1:] != tag[:-1])
     starts = np.flatnonzero(step)
     sizes = np.diff(np.append(starts, len(row)))
-    return row[starts], np.stack([word[starts], sizes, source_rank[starts], source_word[starts]], axis=1).astype(np.int64)
+    return row[starts], np.stack([word[starts], sizes, rank[starts], at[starts], tag[starts]], axis=1).astype(np.int64)
 
 
 def _by_row(rows: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -163,14 +178,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 _SENT = "part int, rank bigint, tag bigint, payload binary"
 
 
-def _send(parts: int):
+def _send(parts: int, portion_bytes: int = BATCH_BYTES, bits: int = 64):
     """Rows (rank, tag, text) to packed paths by part, and spans settled here by (rank, tag)."""
 
     def portion(rank: np.ndarray, tag: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        at, edge, anchor, owner, first = _edges(texts)
+        at, edge, anchor, owner, first = _edges(texts, bits)
         row, out = owner[at] if len(at) else at, []
         later, source = _later_copies(edge, anchor, rank[row])
-        rows, spans = _spans(row[later], at[later] - first[row[later]], rank[row[source]], at[source] - first[row[source]])
+        rows, spans = _spans(row[later], at[later] - first[row[later]], (rank[row[source]], at[source] - first[row[source]], tag[row[source]]))
         for r, blob in _by_row(rows, spans):
             out.append((r % parts, int(rank[r]), int(tag[r]), blob))
         stay = np.ones(len(at), bool)
@@ -192,7 +207,7 @@ def _send(parts: int):
         for batch in batches:
             rank, tag = (batch.column(i).to_numpy() for i in (0, 1))
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for a, b in by_bytes(texts):
+            for a, b in by_bytes(texts, portion_bytes):
                 # by rank, so that ranks pack well
                 order = a + np.argsort(rank[a:b], kind="stable")
                 yield portion(rank[order], tag[order], [texts[i] for i in order])
@@ -222,7 +237,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a mixed key of 64 bits gathers; the 48 bits of the edge under a 64-bit anchor decide
         true = edge[later] == edge[source]
         later, source = later[true], source[true]
-        owner, spans = _spans(row[later], word[later], rank[row[source]], word[source])
+        owner, spans = _spans(row[later], word[later], (rank[row[source]], word[source], tag[row[source]]))
         return emit([(int(rank[r]), int(tag[r]), blob) for r, blob in _by_row(owner, spans)])
 
     part, blobs = None, []
@@ -247,45 +262,132 @@ def _keyed(docs: DataFrame, keep: tuple[str, ...], id_col: str, text: str) -> Da
     return docs.select(*keep, F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("__rank"), F.xxhash64(body).alias("__tag"), body.alias("__text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__rank, __tag, spans): packed spans of windows that also start in a row of smaller id.
-
-    __rank is the id (null: the largest), __tag a digest of the text: rows of one id with
-    different texts are told apart; none of them is a source for another.
-    """
-    small_batches(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs, (), id_col, text)
-    sent = rows.select("__rank", "__tag", "__text").mapInArrow(_send(PARTS * parts), _SENT)
-    met = sent.repartition(parts, "part").sortWithinPartitions("part")
-    spans = met.mapInArrow(_settle, "rank bigint, tag bigint, spans binary")
-    return spans.groupBy(F.col("rank").alias("__rank"), F.col("tag").alias("__tag")).agg(F.collect_list("spans").alias("spans"))
+_SPANS = "array<struct<start:int,words:int,source:bigint,source_tag:bigint,source_start:int>>"
 
 
 def compact(blobs: list[bytes]) -> np.ndarray:
     """A document's spans, sorted; those that continue each other here and in the source are one."""
-    spans = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in blobs])
+    spans = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 5) for b in blobs])
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    start, n, source, at = spans.T
+    start, n, source, at, tag = spans.T
     on = np.zeros(len(spans), bool)
-    on[1:] = (start[1:] == start[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + n[:-1])
+    on[1:] = (start[1:] == start[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + n[:-1]) & (tag[1:] == tag[:-1])
     heads = np.flatnonzero(~on)
     out = spans[heads]
     out[:, 1] = np.add.reduceat(n, heads)
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        listed = []
+        for blobs in batch.column(2).to_pylist():
+            listed.append([{"start": s, "words": n + K - 1, "source": r, "source_tag": t, "source_start": w} for s, n, r, w, t in compact(blobs).tolist()])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_tag", pa.int64()), ("source_start", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(listed, kind)], names=["__rank", "__tag", "spans"])
+
+
+def proposed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", portion_bytes: int = BATCH_BYTES, bits: int = 64) -> DataFrame:
+    """(__rank, __tag, spans): compacted spans of windows whose hashes also start in a row of smaller id.
+
+    __rank is the id (null: the largest), __tag a digest of the text: rows of one id with
+    different texts are told apart; none of them is a source for another. bits: of the words'
+    hashes; fewer make words collide, for tests.
+    """
+    small_batches(docs.sparkSession)
+    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _keyed(docs, (), id_col, text)
+    parts = max(PARTS * session, min(MOST_PARTS, (plan_bytes(docs) or 0) // PART_BYTES))
+    sent = rows.select("__rank", "__tag", "__text").mapInArrow(_send(parts, portion_bytes, bits), _SENT)
+    met = sent.repartition(max(session, parts // PARTS), "part").sortWithinPartitions("part")
+    spans = met.mapInArrow(_settle, "rank bigint, tag bigint, spans binary")
+    by_text = spans.groupBy(F.col("rank").alias("__rank"), F.col("tag").alias("__tag")).agg(F.collect_list("spans").alias("spans"))
+    return checkpointed(by_text.mapInArrow(_compacted, f"__rank bigint, __tag bigint, spans {_SPANS}"))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("__rank", "__tag", F.inline("spans"))
+
+
+def _digests(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(__rank, __tag, start, words, low, high): least and greatest digest of the words of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in by_bytes(texts):
+                rank, tag, start, count, digest = [], [], [], [], []
+                part = batch.slice(a, b - a)
+                for r, t, body, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts[a:b], part.column(3).to_pylist(), strict=True):
+                    words = words_of(body)
+                    for x in asked:
+                        rank.append(r)
+                        tag.append(t)
+                        start.append(x["start"])
+                        count.append(x["words"])
+                        digest.append(hashlib.blake2b(b" ".join(words[x["start"] : x["start"] + x["words"]]), digest_size=16).digest())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rank, tag, start, count, digest), types, strict=True)], names=["__rank", "__tag", "start", "words", "digest"])
+
+    asked = ranges.distinct().groupBy("__rank", "__tag").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))
+    joined = rows.select("__rank", "__tag", "__text").join(asked, ["__rank", "__tag"])
+    made = joined.mapInArrow(run, "__rank bigint, __tag bigint, start int, words int, digest binary")
+    return made.groupBy("__rank", "__tag", "start", "words").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+
+
+def false_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(__rank, __tag, start, words): the spans of found whose words are not those at the source's coordinates."""
+    flat = _flat(found)
+    of_source = flat.select(F.col("source").alias("__rank"), F.col("source_tag").alias("__tag"), F.col("source_start").alias("start"), "words")
+    digests = _digests(_keyed(docs, (), id_col, text), flat.select("__rank", "__tag", "start", "words").union(of_source))
+    theirs = digests.select(F.col("__rank").alias("source"), F.col("__tag").alias("source_tag"), F.col("start").alias("source_start"), "words", F.col("low").alias("__low"), F.col("high").alias("__high"))
+    both = flat.join(digests, ["__rank", "__tag", "start", "words"]).join(theirs, ["source", "source_tag", "source_start", "words"])
+    differ = (F.col("low") != F.col("high")) | (F.col("low") != F.col("__low")) | (F.col("low") != F.col("__high"))
+    return checkpointed(both.where(differ).select("__rank", "__tag", "start", "words"))
+
+
+def _looked_up(docs: DataFrame, false: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Spans of one window each, found by their words, for the windows of false spans."""
+    words = F.filter(F.split("__text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = _keyed(docs, (), id_col, text).select("__rank", "__tag", words.alias("w")).where(F.size("w") >= K)
+    window = F.array_join(F.slice("w", F.col("at") + 1, K), " ").alias("g")
+    own = rows.join(false, ["__rank", "__tag"]).select("__rank", "__tag", "w", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("words") - K)).alias("at"))
+    own = checkpointed(own.select("__rank", "__tag", "at", window).distinct())
+    wanted = own.select("g").distinct()
+    wanted = F.broadcast(wanted) if own.count() <= SENT else wanted
+    there = rows.select("__rank", "__tag", "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("at")).select("__rank", "__tag", "at", window)
+    first = there.join(wanted, "g").groupBy("g").agg(F.min(F.struct("__rank", "__tag", "at")).alias("s"))
+    true = own.join(first, "g").where(F.col("s.__rank") < F.col("__rank"))
+    span = F.struct(F.col("at").alias("start"), F.lit(K).alias("words"), F.col("s.__rank").alias("source"), F.col("s.__tag").alias("source_tag"), F.col("s.at").alias("source_start"))
+    return true.select("__rank", "__tag", span.alias("x"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", portion_bytes: int = BATCH_BYTES, bits: int = 64) -> DataFrame:
+    """(__rank, __tag, spans) as proposed_spans, each verified by the words at its source's coordinates."""
+    found = proposed_spans(docs, id_col, text, portion_bytes, bits)
+    release(docs.sparkSession)
+    false = false_spans(docs, found, id_col, text)
+    release(docs.sparkSession)
+    if false.isEmpty():
+        return found
+    kept = _flat(found).join(false, ["__rank", "__tag", "start", "words"], "left_anti")
+    kept = kept.select("__rank", "__tag", F.struct("start", "words", "source", "source_tag", "source_start").alias("x"))
+    every = kept.unionByName(_looked_up(docs, false, id_col, text))
+    return checkpointed(every.groupBy("__rank", "__tag").agg(F.sort_array(F.collect_list("x")).alias("spans")))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", portion_bytes: int = BATCH_BYTES, bits: int = 64) -> DataFrame:
     """id, n_words, n_removed, kept (words joined by a space), spans for every row of docs.
 
     A word goes if a window of K words over it also starts in a row with a smaller id. spans are
     the repeated paths: start word, words, source id, source start word; a source is a row of
-    smaller id whose windows have the same hashes; its words are not compared. Null texts have no words; a null id is the largest
-    and never a source (its source_id would be null); rows of equal id don't affect each other;
-    an empty table gives no rows; other columns are not read.
+    smaller id that holds the span's words there. Whole texts count: a very long one is a portion
+    of its own. Ids are integers, or text that reads as one. Null texts have no words; a null id is
+    the largest and never a source; rows of equal id, repeated ones among them, don't affect each
+    other; an empty table gives no rows; other columns, clashing names among them, are not read.
     """
     rows = _keyed(docs, (id_col,), id_col, text)
-    joined = rows.join(repeated_spans(docs, id_col, text), ["__rank", "__tag"], "left")
+    joined = rows.join(repeated_spans(docs, id_col, text, portion_bytes, bits), ["__rank", "__tag"], "left")
     source = joined.select(F.col(id_col), "__text", "spans")
     span = "array<struct<start:int,words:int,source_id:bigint,source_start:int>>"
     schema = fields(f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string, spans {span}")
@@ -298,24 +400,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             texts = batch.column(1).to_pylist()
             for a, b in by_bytes(texts):
                 total, gone, kept, paths = [], [], [], []
-                for t, blobs in zip(texts[a:b], batch.column(2)[a:b].to_pylist(), strict=True):
+                for t, found in zip(texts[a:b], batch.column(2)[a:b].to_pylist(), strict=True):
                     words = words_of(t)
                     total.append(len(words))
-                    if not blobs:
-                        gone.append(0)
-                        kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                        paths.append([])
-                        continue
-                    found = compact(blobs)
                     depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, found[:, 0], 1)
-                    np.add.at(depth, found[:, 0] + found[:, 1] + K - 1, -1)
+                    for x in found or ():
+                        depth[x["start"]] += 1
+                        depth[x["start"] + x["words"]] -= 1
                     stay = np.cumsum(depth[:-1]) == 0
                     gone.append(len(words) - int(stay.sum()))
-                    kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]).decode("utf-8", "surrogatepass"))
-                    paths.append([{"start": x[0], "words": x[1] + K - 1, "source_id": x[2], "source_start": x[3]} for x in found.tolist()])
+                    kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)] if gone[-1] else words).decode("utf-8", "surrogatepass"))
+                    paths.append([{"start": x["start"], "words": x["words"], "source_id": x["source"], "source_start": x["source_start"]} for x in found or ()])
                 arrays = [batch.column(0)[a:b], *(pa.array(x, f.type) for x, f in zip((total, gone, kept, paths), list(out)[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return source.mapInArrow(run, schema)
-

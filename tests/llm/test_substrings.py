@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from sparkyard.llm import common, substrings
+from sparkyard.llm import substrings
 from sparkyard.llm.substrings import K, remove_repeats
 
 
@@ -43,12 +43,14 @@ def made(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("seed,portion", [(1, 300), (2, 4000), (3, 1 << 22)])
-def test_against_brute_force(spark, monkeypatch, seed, portion):
-    monkeypatch.setattr(common.by_bytes, "__defaults__", (portion,))
-    docs = made(seed)
+@pytest.mark.parametrize("seed,portion,bits", [(1, 300, 64), (2, 4000, 64), (3, 1 << 22, 64), (4, 700, 2), (5, 1 << 22, 3)])
+def test_against_brute_force(spark, seed, portion, bits):
+    """Portions of any size, and words whose hashes collide."""
+    docs = made(seed) + [(6000, " ".join(f"w{i % 977}" for i in range(60000))), (6001, "w5 " + " ".join(f"w{i % 977}" for i in range(300)))]
     df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id bigint, text string, spans string").repartition(3)
-    rows = remove_repeats(df).collect()
+    rows = remove_repeats(df, portion_bytes=portion, bits=bits).collect()
+    if bits < 64:
+        assert substrings.false_spans(df, substrings.proposed_spans(df, bits=bits)).count() > 0
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows), key=key) == sorted(plain(docs), key=key)
     texts = {}
