@@ -55,6 +55,8 @@ def test_batches_are_balanced():
     sizes = [10, 5, 300, 1, 1, 99, 1]
     parts = list(by_bytes(["x" * n for n in sizes], 100))
     assert parts == [(0, 2), (2, 3), (3, 5), (5, 7)] and list(by_bytes([])) == []
+    # bytes of UTF-8, not characters
+    assert list(by_bytes(["日本" * 10, "ab", "é" * 20], 60)) == [(0, 1), (1, 3)]
 
 
 def frame(spark):
@@ -69,6 +71,19 @@ def test_digests(spark):
     assert byte_bpe.bpe_digests(frame(spark).limit(0), RANKS, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("chunk,overlap", [(40, 12), (300, 60)])
+def test_chunks_as_rows(spark, chunk, overlap):
+    """Long texts shared by tasks, some of them without a common boundary, copies and repeated ids among them."""
+    encoder, _ = byte_bpe.load(RANKS, P.PATTERN)
+    docs = [(i, t) for i, t in enumerate(texts(5, 150, 400))] + [(9, "x" * 2000), (9, "x" * 2000), (None, " \n" * 900), (200, "one two, three. " * 200), (201, "é" * 100 + " 日本 " * 90), (202, None), (203, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, tag int").repartition(3)
+    rows = byte_bpe.bpe_digests(df, RANKS, P.PATTERN, long_chars=100, chunk=chunk, overlap=overlap).collect()
+    want = sorted((-1 if d is None else d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in docs for ids in [encoder.encode_ordinary(t or "")])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    cuts = [byte_bpe.common_cut(t[: chunk + overlap], chunk, len(t) < chunk + overlap, P.PATTERN) for _, t in docs if t and len(t) > chunk]
+    assert None in cuts and sum(c is not None for c in cuts) > 20
+
+
 def test_round_trip(spark):
     ids = byte_bpe.bpe_encode(frame(spark), RANKS, P.PATTERN)
     back = byte_bpe.bpe_decode(ids, RANKS, P.PATTERN).collect()
