@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -65,10 +66,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    It does so when the driver's memory is collected, which may be long after their last use.
+    It does so when the driver's memory is collected, which may be long after their last use. The
+    second round collects what the first one has let go, once Spark's cleaner has had a moment.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def plan_bytes(df: DataFrame) -> int | None:

@@ -309,41 +309,43 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.select("__rank", "__tag", F.inline("spans"))
 
 
-def _digests(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(__rank, __tag, start, words, low, high): least and greatest digest of the words of each range."""
+_SOURCE = ("source", "source_tag", "source_start", "words")
+
+
+def _digests(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(source, source_tag, source_start, words, d1, d2) for each range asked (__rank, __tag, start and these): a digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in by_bytes(texts):
-                rank, tag, start, count, digest = [], [], [], [], []
-                part = batch.slice(a, b - a)
-                for r, t, body, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts[a:b], part.column(3).to_pylist(), strict=True):
+                out = []
+                for body, ranges in zip(texts[a:b], batch.column(1)[a:b].to_pylist(), strict=True):
                     words = words_of(body)
-                    for x in asked:
-                        rank.append(r)
-                        tag.append(t)
-                        start.append(x["start"])
-                        count.append(x["words"])
-                        digest.append(hashlib.blake2b(b" ".join(words[x["start"] : x["start"] + x["words"]]), digest_size=16).digest())
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rank, tag, start, count, digest), types, strict=True)], names=["__rank", "__tag", "start", "words", "digest"])
+                    for x in ranges:
+                        digest = hashlib.blake2b(b" ".join(words[x["start"] : x["start"] + x["words"]]), digest_size=16).digest()
+                        out.append((x["source"], x["source_tag"], x["source_start"], x["words"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                columns = zip(*out, strict=True) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=[*_SOURCE, "d1", "d2"])
 
-    asked = ranges.distinct().groupBy("__rank", "__tag").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))
-    joined = rows.select("__rank", "__tag", "__text").join(asked, ["__rank", "__tag"])
-    made = joined.mapInArrow(run, "__rank bigint, __tag bigint, start int, words int, digest binary")
-    return made.groupBy("__rank", "__tag", "start", "words").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    ranges = asked.groupBy("__rank", "__tag").agg(F.collect_list(F.struct("start", *_SOURCE)).alias("ranges"))
+    joined = rows.join(ranges, ["__rank", "__tag"]).select("__text", "ranges")
+    return joined.mapInArrow(run, "source bigint, source_tag bigint, source_start int, words int, d1 bigint, d2 bigint")
 
 
 def false_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__rank, __tag, start, words): the spans of found whose words are not those at the source's coordinates."""
+    """(__rank, __tag, start, words): the spans of found whose source range has other words than some span that names it.
+
+    Digests of a source range and of all spans that name it meet by partial aggregation, so a range
+    that a third of all documents repeat costs a row a task.
+    """
     flat = _flat(found)
-    of_source = flat.select(F.col("source").alias("__rank"), F.col("source_tag").alias("__tag"), F.col("source_start").alias("start"), "words")
-    digests = _digests(_keyed(docs, (), id_col, text), flat.select("__rank", "__tag", "start", "words").union(of_source))
-    theirs = digests.select(F.col("__rank").alias("source"), F.col("__tag").alias("source_tag"), F.col("start").alias("source_start"), "words", F.col("low").alias("__low"), F.col("high").alias("__high"))
-    both = flat.join(digests, ["__rank", "__tag", "start", "words"]).join(theirs, ["source", "source_tag", "source_start", "words"])
-    differ = (F.col("low") != F.col("high")) | (F.col("low") != F.col("__low")) | (F.col("low") != F.col("__high"))
-    return checkpointed(both.where(differ).select("__rank", "__tag", "start", "words"))
+    own = flat.select(F.col("source").alias("__rank"), F.col("source_tag").alias("__tag"), F.col("source_start").alias("start"), *_SOURCE).distinct()
+    digests = _digests(_keyed(docs, (), id_col, text), flat.select("__rank", "__tag", "start", *_SOURCE).unionByName(own))
+    both = digests.groupBy(*_SOURCE).agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("d2").alias("c"), F.max("d2").alias("d"))
+    differ = checkpointed(both.where("a <> b or c <> d").select(*_SOURCE))
+    return flat.join(differ, list(_SOURCE), "left_semi").select("__rank", "__tag", "start", "words")
 
 
 def _looked_up(docs: DataFrame, false: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -370,6 +372,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     release(docs.sparkSession)
     if false.isEmpty():
         return found
+    false = checkpointed(false)
     kept = _flat(found).join(false, ["__rank", "__tag", "start", "words"], "left_anti")
     kept = kept.select("__rank", "__tag", F.struct("start", "words", "source", "source_tag", "source_start").alias("x"))
     every = kept.unionByName(_looked_up(docs, false, id_col, text))
