@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import shutil
 import tempfile
 import time
@@ -28,7 +29,8 @@ def small_batches(spark: SparkSession) -> None:
     """Read and hand over rows in portions fit for long texts.
 
     The Parquet reader's default of 4096 rows makes arrays of tens of megabytes for columns of
-    documents, which fragment an executor's heap; batches for Python are bounded by bytes too.
+    documents, which fragment an executor's heap; batches for Python are bounded by bytes too. These
+    settings stay with the session, since plans run after the operators that make them return.
     """
     _ship(spark)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
@@ -49,14 +51,24 @@ def _ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, in a place of this session's own.
 
-    A folder of our own is used only where the session names none, as in tests.
+    A folder of our own is used only where the session names none and runs in one process, as in
+    tests; a cluster that names none is an error, since its executors share no local folder.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkyard-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkyard-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)

@@ -377,8 +377,10 @@ def redacted(text: str, spans: dict[str, list[Span]]) -> str:
 def pii_spans(docs: DataFrame, model: PiiModel | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep, base counts, base_sha256, spans and redacted for every row's whole text.
 
-    Null texts count as empty: no spans, the digest of nothing. Repeated rows give repeated
-    results; null ids stay; an empty table gives no rows; other columns are not read.
+    Null texts count as empty: no spans, the digest of nothing. Whole texts are searched, however
+    long, each in one task and in time linear in its length. Repeated rows give repeated results;
+    null ids stay; an empty table gives no rows; other columns, clashing names among them, are not
+    read.
     """
     model = model or fit_pii()
 

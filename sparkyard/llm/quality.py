@@ -162,8 +162,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: tuple[int,
 def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep, score (0 to 1) and predicted (1 if score >= threshold) for every row's whole text.
 
-    Null and empty texts are scored as the empty text; repeated rows score alike; an empty table
-    gives no rows; other columns are not read.
+    Null and empty texts are scored as the empty text; whole texts count, however long; repeated
+    rows score alike; an empty table gives no rows; other columns, clashing names among them, are
+    not read.
     """
 
     def work(texts: list[str]) -> dict[str, list]:

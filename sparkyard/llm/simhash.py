@@ -139,10 +139,14 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
-def in_tiles(keyed: DataFrame, tile: int) -> DataFrame:
-    """(key, t, u, node) of the buckets with several nodes; a bucket above `tile` in pairs of tiles."""
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(full, "key").select("key", "node", F.expr(f"int(ceil(n / {tile}))").alias("g"))
+def in_tiles(keyed: DataFrame, tile: int, size: str | None = None, tile_bytes: int = 64 << 20) -> DataFrame:
+    """(key, t, u, node) of the buckets with several nodes; a bucket above `tile` in pairs of tiles.
+
+    size: a column with the bytes of each node's content; then tiles hold about tile_bytes at most.
+    """
+    held = F.sum(size) if size else F.lit(0)
+    full = keyed.groupBy("key").agg(F.count("*").alias("n"), held.alias("held")).where("n > 1")
+    met = keyed.join(full, "key").select("key", "node", F.expr(f"int(least(n, greatest(ceil(n / {tile}), ceil(held / {tile_bytes}))))").alias("g"))
     met = met.withColumn("t", F.expr("int(pmod(xxhash64(node), g))"))
     met = met.select("key", "node", "t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
     return met.select("key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "node")
@@ -179,8 +183,9 @@ def simhash_components(docs: DataFrame, width: int = 5, distance: int = 3, id_co
 
     Rows link when their fingerprints differ in at most `distance` bits. Null and empty texts have
     fingerprint 0 and link like any other. A null id gets a component but never names one, unless
-    all ids of the component are null. Repeated rows give repeated results; an empty table gives
-    none; other columns are not read.
+    all ids of the component are null. Whole texts count, however long, each in one task. Repeated
+    rows give repeated results; an empty table gives none; other columns, clashing names among
+    them, are not read.
     """
     own = checkpointed(fingerprints(docs.select(id_col, text), width, (id_col,), text))
     classes = own.groupBy("fp").agg(F.min(id_col).alias("least"))

@@ -61,8 +61,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, keep: tupl
     """keep, n_bytes (UTF-8), n_tokens, over_limit for every row of docs.
 
     Null and empty texts count 0 bytes and 0 tokens; a null id stays; repeated rows each give a
-    row; an empty table gives none; other columns of docs are not read. The model adds no begin
-    or end tokens; strings of special tokens in a text are ordinary text.
+    row; an empty table gives none; other columns of docs, clashing names among them, are not
+    read. Very long texts are split at safe boundaries and counted whole, in one task each. The
+    model adds no begin or end tokens; strings of special tokens in a text are ordinary text.
     """
 
     def work(texts: list[str]) -> dict[str, list]:
