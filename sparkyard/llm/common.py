@@ -75,6 +75,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def apart(totals: DataFrame, key: str) -> DataFrame:
+    """totals, a row a key, dealt otherwise than by key: a join to it shuffles both sides, so that AQE can split a hot key's rows.
+
+    Joined to an aggregation as it stands, the other side would share its shuffle, which is never split.
+    """
+    return totals.repartition(F.xxhash64(key))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 

@@ -5,27 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import apart, checkpointed
 
 #: Edges of a partition that a round leaves; few edges make few files.
 EDGES_A_PART = 250_000
 
 
-def _apart(least: DataFrame) -> DataFrame:
-    """least in partitions of its own, so that the join to it shuffles both sides and AQE can split a hub's edges."""
-    return least.repartition(F.xxhash64("a"))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(_apart(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.join(apart(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(_apart(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+    return down.join(apart(least, "a"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

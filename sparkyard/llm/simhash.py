@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fields, map_texts, small_batches
+from .common import apart, checkpointed, fields, map_texts, small_batches
 from .components import connected_components
 
 BITS, BLOCKS, TILE = 64, 6, 2048
@@ -146,7 +146,7 @@ def in_tiles(keyed: DataFrame, tile: int, size: str | None = None, tile_bytes: i
     """
     held = F.sum(size) if size else F.lit(0)
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), held.alias("held")).where("n > 1")
-    met = keyed.join(full, "key").select("key", "node", F.expr(f"int(least(n, greatest(ceil(n / {tile}), ceil(held / {tile_bytes}))))").alias("g"))
+    met = keyed.join(apart(full, "key"), "key").select("key", "node", F.expr(f"int(least(n, greatest(ceil(n / {tile}), ceil(held / {tile_bytes}))))").alias("g"))
     met = met.withColumn("t", F.expr("int(pmod(xxhash64(node), g))"))
     met = met.select("key", "node", "t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
     return met.select("key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "node")
@@ -192,5 +192,5 @@ def simhash_components(docs: DataFrame, width: int = 5, distance: int = 3, id_co
     roots = connected_components(close_links(classes.select("fp"), distance))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(component, "root").select("fp", "component_id")
+    of = named.join(apart(component, "root"), "root").select("fp", "component_id")
     return own.join(of, "fp").select(id_col, "fp", "component_id")

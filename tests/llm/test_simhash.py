@@ -4,9 +4,10 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkyard.llm.components import connected_components
-from sparkyard.llm.simhash import close_links, fingerprint, simhash_components
+from sparkyard.llm.simhash import close_links, fingerprint, in_tiles, simhash_components
 
 
 def plain_fingerprint(text, width):
@@ -61,6 +62,21 @@ def test_links_join_what_brute_force_joins(spark, tile):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_a_bucket_with_a_third_of_all_rows_is_split(spark):
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.expr("id div 2"))
+        met = in_tiles(spark.range(60000).select(F.col("id").alias("node"), key.cast("bigint").alias("key")), 2048).repartition("key", "t", "u")
+        met.collect()
+        assert "SortMergeJoin(skew=true)" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in connected_components(links).collect()}
