@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_digests
-from .common import table
+from .common import shared_folder, table
 from .decontamination import contaminated
+from .exact_dedup import dedup_in_lots
+from .fill_in_middle import fill_in_middle, restored
 from .fingerprints import edited_fingerprints
+from .periodicity import periodic_runs
 from .pii import pii_spans
 from .quality import quality
 from .sharding import shard_by_bytes
@@ -68,8 +73,69 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's edit: in one document of ten, what follows some word repeats with some period."""
+    h, n = zlib.crc32(str(doc_id).encode() if doc_id is not None else b""), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), least=12, edit=with_period)
+    # the greatest length, then the smallest start, then the smallest period
+    main = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    return found.withColumn("main", main).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("main.start")).alias("start"),
+        F.col("main.length").alias("length"),
+        (-F.col("main.period")).alias("period"),
+        F.expr("1000 * main.length div -main.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed="1", plain=10, spm=20)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = dedup_in_lots(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/digest_index-{uuid.uuid4().hex}")
+    return placed.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_sharding, op3_toxicity, op4_substrings, op5_fingerprints, op6_simhash, op7_byte_bpe, op8_token_counts, op9_decontamination, op10_quality)}
+    found = (
+        op1_pii,
+        op2_sharding,
+        op3_toxicity,
+        op4_substrings,
+        op5_fingerprints,
+        op6_simhash,
+        op7_byte_bpe,
+        op8_token_counts,
+        op9_decontamination,
+        op10_quality,
+        op11_periodic_runs,
+        op12_fill_in_middle,
+        op13_exact_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Words by the contract's pattern; a window's source is the smallest id that it starts in.
@@ -85,6 +151,27 @@ FROM d LEFT JOIN x USING (r)
 """
 
 
+#: Units as a list; cuts are slices of it.
+_FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a+1:b], '') AS m, array_to_string(w[b+1:n], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM p
+"""
+
+_EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t, row_number() OVER () AS r FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST, r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_substrings": _SUBSTRINGS}
+    return {"op4_substrings": _SUBSTRINGS, "op12_fill_in_middle": _FILL_IN_MIDDLE, "op13_exact_dedup": _EXACT_DEDUP}
