@@ -11,10 +11,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkyard.functions import jsons as J
 from sparkyard.operators import lots as L
 from sparkyard.operators import parsing, reports, summaries, timeline
 from sparkyard.sources.readers import metadata
-from sparkyard.sources.writers import StageTable, result_document
+from sparkyard.sources.writers import result_document
 
 from .providers import Called, Provider
 
@@ -97,6 +98,19 @@ def results(info: DataFrame, windows: DataFrame, lots: DataFrame, provider: Prov
     return found.join(result_document(found, lots), "video_id")
 
 
+#: Facts of an auction.
+FACTS = ["date", "city", "auctioneer", "farm", "auction_type", "notes"]
+
+
+def facts_of(info: DataFrame, windows: DataFrame, provider: Provider) -> DataFrame:
+    """(video_id, date, ..., notes, answered) of all videos of info; answered: whether there is an answer that could be read."""
+    provider = stored(provider, windows.sparkSession)
+    contexts = info.select("video_id").join(timeline.head_context(windows, info), "video_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    answers = provider.metadata(contexts).select("video_id", "response")
+    known = metadata(answers, "response").select("video_id", *FACTS, J.object_of("response").isNotNull().alias("answered"))
+    return info.select("video_id").join(known, "video_id", "left")
+
+
 def auctions(info: DataFrame, answers: DataFrame) -> DataFrame:
     """(video_id, video_url, date, ..., notes): facts from metadata answers (video_id, response)."""
     facts = metadata(answers, "response").drop("response", "odd_fields")
@@ -118,16 +132,6 @@ def run_batch(name: str, urls: DataFrame, auctions_: DataFrame, lots: DataFrame,
     return report, reports.markdown(report)
 
 
-#: Stages whose tables a fresh run clears; media files stay.
-STAGES = ("video_info", "transcript", "screenshots", "ocr_results", "lots", "metadata", "result")
-
-
-def start_afresh(spark: SparkSession, root: str, keys: DataFrame, **parameters: object) -> None:
-    """Forget what all stages under root know of the videos in keys."""
-    for name in STAGES:
-        StageTable(spark, f"{root}/{name}", **parameters).clear(keys)
-
-
 @contextmanager
 def stage(spark: SparkSession, name: str) -> Iterator[None]:
     """Jobs inside are described by name; the time they took is told when they end."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkyard import schemas
+from sparkyard.operators import lots as L
+from sparkyard.operators import parsing
 from sparkyard.operators.timeline import confident_text
-from sparkyard.sources.writers import AnswerTable
+from sparkyard.session import names_in, ship
+from sparkyard.sources.writers import AnswerStore
 
 # Model of each provider when none is named.
 DEFAULT_MODELS = {
@@ -81,13 +85,14 @@ def with_retries(call: Callable[[str], str], retries: int = 3, first_wait: float
 
 @dataclass
 class Called:
-    """Answers by a function from prompt to text, one call a row; an error becomes a row's error.
-
-    The function returns the text, or the text and the tokens read and written. A window's answer
-    depends on that window alone, so windows run in parallel; with `in_order` the windows of a
-    video follow each other, and each prompt lists the lots found before. With `store`, a folder,
-    answers are kept there and no question that has one is put again; without it a plan that reads
-    answers more than once refuses to run.
+    """Answers by a function from prompt to text, one call a question; an error becomes a row's error.
+
+    The function returns the text, or the text and the tokens read and written. A window's question
+    holds that window alone, so windows run in parallel; with `in_order` the windows of a video
+    follow each other, and each question lists the lots found before. With `store`, a folder,
+    answers are kept there by the digest of what was asked, and no question that has one is put again;
+    without it a plan that reads answers more than once refuses to run. `batch`: questions whose
+    answers are written together.
     """
 
     complete: Callable[[str], str | tuple[str, int, int]]
@@ -97,14 +102,17 @@ class Called:
     in_order: bool = False
     store: str | None = None
     model: str = ""
+    batch: int = 5_000
 
-    def _kept(self, what: str, questions: DataFrame, keys: list[str], call: Callable[[DataFrame], DataFrame], **parameters: object) -> DataFrame:
-        """call's answers, put once; from the store, if there is one."""
+    def _ask(self, questions: DataFrame, keys: list[str], prompt: str, body: str) -> DataFrame:
+        """(keys, response, input_tokens, output_tokens, error); through the store, if there is one."""
         if self.store is None:
-            return call(questions)
-        return AnswerTable(questions.sparkSession, f"{self.store}/{what}", model=self.model, **parameters).ask(questions, keys, call)
+            return self._asked(questions, keys, prompt, body)
+        store = AnswerStore(questions.sparkSession, self.store, self.model, self.batch)
+        return store.ask(questions, keys, prompt, body, lambda rows: self._asked(rows, ["answer_key"], prompt, "body"))
 
     def _asked(self, rows: DataFrame, keys: list[str], prompt: str, body: str) -> DataFrame:
+        ship(rows.sparkSession)
         complete = with_retries(self.complete)
 
         def answer(text: str) -> tuple:
@@ -132,69 +140,73 @@ class Called:
         return kept.mapInPandas(run, f"{types}, response string, input_tokens bigint, output_tokens bigint, error string")
 
     def extract(self, windows: DataFrame) -> DataFrame:
-        if self.in_order:
-            ask = with_retries(self.complete)
-            call = lambda rows: sequential(rows, lambda text, prior: ask(f"{self.extraction_prompt}\n\n{prior_context(prior)}\n\n{text}"), numbers_in)
-        else:
-            call = lambda rows: self._asked(rows.withColumn("body", F.concat(F.lit("["), "label", F.lit("]\n"), "combined_text")), ["video_id", "window_idx"], self.extraction_prompt, "body")
-        return self._kept("responses", windows, ["video_id", "window_idx"], call, prompt=self.extraction_prompt, in_order=self.in_order)
+        keys = ["video_id", "window_idx"]
+        ask = lambda rows: self._ask(rows, keys, self.extraction_prompt, "body")
+        if not self.in_order:
+            return ask(windows.select(*keys, segment_question().alias("body")))
+        if self.store is None:
+            raise ValueError("windows in order need a store for their answers")
+        return in_order(windows, ask, f"{self.store}/in_order/{uuid.uuid4().hex}")
 
     def verify(self, packets: DataFrame) -> DataFrame | None:
         if self.verify_prompt is None:
             return None
-        call = lambda rows: self._asked(rows, ["video_id", "lot_number"], self.verify_prompt, "packet")
-        return self._kept("verdicts", packets, ["video_id", "lot_number"], call, prompt=self.verify_prompt).select("video_id", "lot_number", "response")
+        return self._ask(packets, ["video_id", "lot_number"], self.verify_prompt, "packet").select("video_id", "lot_number", "response")
 
     def metadata(self, contexts: DataFrame) -> DataFrame:
         """One call a video; a failed one knows nothing."""
         if self.metadata_prompt is None:
             return _nothing_known(contexts)
-        call = lambda rows: self._asked(rows, ["video_id"], self.metadata_prompt, "context")
-        return self._kept("facts", contexts, ["video_id"], call, prompt=self.metadata_prompt).select("video_id", "response")
+        return self._ask(contexts, ["video_id"], self.metadata_prompt, "context").select("video_id", "response")
 
 
-def prior_context(prior: list[int]) -> str:
-    """What a window's prompt says of the lots found before it."""
-    return f"Lotes já encontrados (não repetir): {prior or 'nenhum ainda'}"
+# The wording of a window's question.
+PRIOR_LOTS, NO_PRIOR_LOTS, SEGMENT = "Lotes já encontrados (não repetir): ", "nenhum ainda", "Segmento ["
 
 
-def numbers_in(response: str) -> list[int]:
-    """Numbers of the lots in an answer's first list; none where it has no list."""
-    at = response.find("[")
-    try:
-        listed, _ = json.JSONDecoder().raw_decode(response, at) if at >= 0 else ([], 0)
-    except ValueError:
-        return []
-    named = (x.get("lot_number") for x in listed if isinstance(x, dict))
-    return [int(n) for n in named if str(n).strip().isdigit()]
-
+def segment_question() -> Column:
+    """What is asked of a window, by its label and text."""
+    return F.concat(F.lit(SEGMENT), "label", F.lit("]:\n\n"), "combined_text")
 
-def sequential(windows: DataFrame, ask: Callable[[str, list[int]], str | tuple[str, int, int]], found_in: Callable[[str], list[int]]) -> DataFrame:
-    """(video_id, window_idx, response, input_tokens, output_tokens, error): windows of a video in order, each told the lots before it.
 
-    ask(text, prior lot numbers) answers; found_in(response) reads its lot numbers. Videos run in
-    parallel; a failed call skips its window.
-    """
+def prior_question(prior: Column) -> Column:
+    """What a window's question says of the lots found before it: an ascending array of numbers, null or empty for none."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(prior, lambda n: n.cast("string")), ", "), F.lit("]"))
+    return F.concat(F.lit(PRIOR_LOTS), F.when(F.size(prior) > 0, listed).otherwise(NO_PRIOR_LOTS))
 
-    def run(pdf):
-        import pandas as pd
 
-        prior: set[int] = set()
-        rows = []
-        pdf = pdf.sort_values("window_idx")
-        for label, text in zip(pdf["label"], pdf["combined_text"], strict=True):
-            try:
-                said = ask(f"[{label}]\n{text}", sorted(prior))
-                said = said if isinstance(said, tuple) else (said, None, None)
-                prior |= set(found_in(said[0]))
-                rows.append((*said, None))
-            except Exception as e:
-                rows.append((None, None, None, str(e)[:400]))
-        out = pd.DataFrame(rows, columns=["response", "input_tokens", "output_tokens", "error"], dtype=object, index=pdf.index)
-        return pd.concat([pdf[["video_id", "window_idx"]], out.astype({"input_tokens": "Int64", "output_tokens": "Int64"})], axis=1)
+def in_order(windows: DataFrame, ask: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """(video_id, window_idx, response, input_tokens, output_tokens, error): each window's question tells the lots found before it.
 
-    schema = "video_id string, window_idx int, response string, input_tokens bigint, output_tokens bigint, error string"
-    return windows.select("video_id", "window_idx", "label", "combined_text").groupBy("video_id").applyInPandas(run, schema)
+    All videos go through their windows side by side: round i asks window i of each, reads the
+    answers by the same rules as the extraction, and adds the lots that the burst guard lets through
+    to what later windows are told. A failed call adds nothing. ask gets (video_id, window_idx, body);
+    where it keeps answers by their question, a second run after a failure repeats the rounds
+    without asking, up to the first window whose question has changed or has no answer. Each round's
+    answers and lots are written under folder, so plans stay short.
+    """
+    spark = windows.sparkSession
+    cut = windows.select("video_id", "window_idx", "label", "combined_text")
+    cut.write.partitionBy("window_idx").parquet(f"{folder}/windows")
+    kept = spark.createDataFrame([], "video_id string, lot_number bigint")
+    rounds = sorted(int(n.removeprefix("window_idx=")) for n in names_in(spark, f"{folder}/windows") if n.startswith("window_idx="))
+    for i in rounds:
+        here = spark.read.schema("video_id string, label string, combined_text string").parquet(f"{folder}/windows/window_idx={i}").withColumn("window_idx", F.lit(i))
+        told = kept.groupBy("video_id").agg(F.sort_array(F.collect_set("lot_number")).alias("prior"))  # the lots of one video
+        asked = here.join(told, "video_id", "left")
+        body = F.concat(prior_question(F.col("prior")), F.lit("\n\n"), segment_question())
+        ask(asked.select("video_id", "window_idx", body.alias("body"))).write.parquet(f"{folder}/answers/round={i}")
+        answers = spark.read.parquet(f"{folder}/answers/round={i}")
+        valid = parsing.valid(parsing.read_lots(answers.select("video_id", "window_idx", "response")))
+        known = kept.withColumn("known", F.lit(True))
+        found = L.with_support(valid, here).join(known, ["video_id", "lot_number"], "left")
+        crowded = F.count("*").over(Window.partitionBy("video_id")) > L.BURST
+        through = found.withColumn("crowded", crowded).where(~F.col("crowded") | F.col("supported") | F.col("known"))
+        through.where("known is null").select("video_id", "lot_number").distinct().write.parquet(f"{folder}/lots/round={i}")
+        kept = spark.read.parquet(f"{folder}/lots/*")
+    if not rounds:
+        return spark.createDataFrame([], schemas.RESPONSES)
+    return spark.read.schema(schemas.RESPONSES).parquet(f"{folder}/answers/*")
 
 
 #: LOTE | farm | VALORPORANIMAL | lot | R$ | price | NCATEGORY-AGEM-BREED

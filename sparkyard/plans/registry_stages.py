@@ -143,8 +143,9 @@ def ocr_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.ocr_document(e.select(_text("user_id").alias("video_id"), F.col("event_id").alias("ocr_idx"), S.hms((F.col("event_id") % 4) * 30).alias("ts"), F.array("event_type").alias("tokens")))
 
 
-@_query("""SELECT c_custkey::VARCHAR AS video_id, CASE WHEN c_custkey % 3 = 0 THEN '{}' WHEN c_custkey % 3 = 1 THEN '{"city":"' || c_name || '"}' ELSE '{"city":"' || c_name || '","farm":"' || c_mktsegment || '"}' END AS value FROM customer""")
+@_query("""SELECT c_custkey::VARCHAR AS video_id, CASE WHEN c_custkey % 3 = 0 THEN '{}' WHEN c_custkey % 3 = 1 THEN '{"city":"' || c_name || '","farm":null}' ELSE '{"city":"' || c_name || '","farm":"' || c_mktsegment || '"}' END AS value FROM customer""")
 def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with their nulls, and an empty object where there are none."""
     c, k = _table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
     return writers.metadata_document(c.select(_text("c_custkey").alias("video_id"), F.when(k > 0, F.col("c_name")).alias("city"), F.when(k > 1, F.col("c_mktsegment")).alias("farm")), ["city", "farm"])
 

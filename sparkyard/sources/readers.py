@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import jsons as J
 from sparkyard.functions.scalars import clip, strip, video_id
-from sparkyard.operators.parsing import lots_of_text
+from sparkyard.operators.parsing import FIELDS, lots_of_text, read_lots
 
 #: Id in the file names of stage documents, as transcript_<id>.json.
 _ID = r"(?:^|/)(?:video_info|transcript|screenshots|ocr_results|lots|metadata|result)_([^/]+)\.json$"
@@ -22,7 +23,29 @@ def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def named(rows: DataFrame) -> DataFrame:
     """(path, video_id, value) of rows (path, value)."""
-    return rows.select("path", F.nullif(F.regexp_extract("path", _ID, 1), F.lit("")).alias("video_id"), "value")
+    in_name = F.nullif(F.regexp_extract("path", _ID, 1), F.lit(""))
+    return rows.select("path", F.when(in_name.startswith("~"), F.decode(F.unhex(F.substr(in_name, F.lit(2))), "UTF-8")).otherwise(in_name).alias("video_id"), "value")
+
+
+def file_id(video_id: Column | str) -> Column:
+    """An id as part of a file's name: as it is, or its bytes in hexadecimal behind a ~ where it has other than letters, digits and ._-"""
+    c = F.col(video_id) if isinstance(video_id, str) else video_id
+    return F.when(c.rlike(r"^[A-Za-z0-9._-]+$"), c).otherwise(F.concat(F.lit("~"), F.lower(F.hex(c))))
+
+
+def stage_documents(spark: SparkSession, folder: str, stage: str, ids: Sequence[str] | None = None) -> DataFrame:
+    """(path, video_id, value) of a folder's documents <stage>_<id>.json; with ids, the files of others are not opened."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter=f"{stage}_*.json")
+    if ids is not None:
+        names = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(F.concat(F.lit(f"{stage}_"), file_id("i"), F.lit(".json"))).collect()] if ids else []
+        found = found.where(F.col("_metadata.file_name").isin(names))
+    return named(found.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def known_ids(spark: SparkSession, folder: str, *stages: str) -> DataFrame:
+    """(video_id) of all that have a document of these stages; only names are read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{','.join(stages)}}}_*.json").load(folder).select("path", F.lit(None).cast("string").alias("value"))
+    return named(listed).select("video_id").distinct()
 
 
 #: A document that is no such JSON raises an error; see `tolerant` for reading past it.
@@ -72,6 +95,92 @@ def lots(spark: SparkSession, path: str) -> DataFrame:
     return lots_of_text(documents(spark, path).drop("path"))
 
 
+@dataclass(frozen=True)
+class Checked:
+    """Documents by key, each parsed once: (video_id, items, error), where `error` says why there are no items.
+
+    One that can't be read costs its own key only: its error is a row, and so travels with the
+    others' results to the report.
+    """
+
+    documents: DataFrame
+    position: str
+    columns: tuple[str, ...]
+
+    @property
+    def rows(self) -> DataFrame:
+        """An item a row, of the documents that could be read."""
+        listed = self.documents.where("error is null").select("video_id", F.posexplode("items").alias(self.position, "__e"))
+        flat = listed.select("video_id", self.position, "__e.*")
+        return flat.select("video_id", *self.columns)
+
+    @property
+    def failures(self) -> DataFrame:
+        """(video_id, error) of those that could not."""
+        return self.documents.where("error is not null").select("video_id", "error")
+
+    def kept(self, folder: str) -> Checked:
+        """The same, written to a folder, so that rows and failures come from one parse."""
+        self.documents.write.mode("overwrite").parquet(folder)
+        return Checked(self.documents.sparkSession.read.parquet(folder), self.position, self.columns)
+
+
+def _listed(rows: DataFrame, stage: str, element: str, shape: str, whole: Callable[[Column], Column], lacks: Callable[[Column], Column]) -> DataFrame:
+    """(video_id, items, error) of rows (video_id, value): JSON of that shape, its items without what `lacks` finds."""
+    # read as an object's field, a value that does not fit its type is told in a column of its own
+    read = F.from_json(F.concat(F.lit('{"x":'), "value", F.lit("}")), f"x {element}, bad string", {"columnNameOfCorruptRecord": "bad"})
+    parsed = rows.select("video_id", "value", J.kind(J.strict_json("value")).alias("__k"), read.alias("__r"))
+    items = whole(F.col("__r.x"))
+    error = (
+        F.when(F.col("value").isNull() | (F.col("__k") != shape) | F.col("__r.bad").isNotNull(), f"{stage}: no such JSON")
+        .when(F.exists(items, lacks), f"{stage}: an item without its fields")
+    )
+    checked = parsed.select("video_id", items.alias("items"), error.alias("error"))
+    return checked.select("video_id", F.when(F.col("error").isNull(), F.col("items")).alias("items"), "error")
+
+
+def checked_segments(rows: DataFrame) -> Checked:
+    """Transcripts (video_id, value): every item has start, end and text."""
+    lacks = lambda e: e["start"].isNull() | e["end"].isNull() | e["text"].isNull()
+    read = _listed(rows, "transcript", "array<struct<start:double,end:double,text:string>>", "ARRAY", lambda x: x, lacks)
+    return Checked(read, "seg_idx", ("seg_idx", "start", "end", "text"))
+
+
+def checked_frames(rows: DataFrame) -> Checked:
+    """Frame indexes (video_id, value): every item has seconds, time and path."""
+    lacks = lambda e: e["seconds"].isNull() | e["ts"].isNull() | e["path"].isNull()
+    named_ = lambda x: F.transform(x, lambda e: F.struct(e["seconds"].alias("seconds"), e["timestamp_str"].alias("ts"), e["path"].alias("path")))
+    read = _listed(rows, "screenshots", "array<struct<seconds:int,timestamp_str:string,path:string>>", "ARRAY", named_, lacks)
+    return Checked(read, "frame_idx", ("frame_idx", "seconds", "ts", "path"))
+
+
+def checked_ocr(rows: DataFrame) -> Checked:
+    """Screen texts (video_id, value): lists of tokens by time; of a repeated time the last ones, at the first one's place."""
+    def entries(x: Column) -> Column:
+        listed = F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("ts"), e["value"].alias("tokens")))
+        # later entries of a time overwrite the tokens of its first one
+        into = lambda acc, e: F.when(F.exists(acc, lambda a: a["ts"] == e["ts"]), F.transform(acc, lambda a: F.when(a["ts"] == e["ts"], e).otherwise(a))).otherwise(F.concat(acc, F.array(e)))
+        repeated = F.size(F.array_distinct(F.transform(listed, lambda e: e["ts"]))) < F.size(listed)
+        return F.when(repeated, F.aggregate(listed, F.slice(listed, 1, 0), into)).otherwise(listed)
+
+    lacks = lambda e: e["ts"].isNull() | e["tokens"].isNull()
+    read = _listed(rows, "ocr_results", "map<string,array<string>>", "OBJECT", entries, lacks)
+    return Checked(read, "ocr_idx", ("ocr_idx", "ts", "tokens"))
+
+
+def checked_lots(rows: DataFrame) -> Checked:
+    """Stored lots (video_id, value), re-validated: one invalid lot makes the document unreadable."""
+    spoken = rows.select("video_id", J.kind(J.strict_json("value")).alias("k"))
+    read = read_lots(rows.select("video_id", "value"), "value").withColumn("__lot", F.struct(*FIELDS)).groupBy("video_id")
+    read = read.agg(F.sort_array(F.collect_list(F.struct("pos", "__lot"))).alias("l"), F.array_distinct(F.flatten(F.collect_list("errors"))).alias("e"))
+    joined = spoken.join(read, "video_id", "left")
+    wrong = F.coalesce(F.size("e") > 0, F.lit(False))
+    error = F.when(F.coalesce(F.col("k") != "ARRAY", F.lit(True)), "lots: no such JSON").when(wrong, F.concat(F.lit("lots: invalid "), F.array_join("e", ", ")))
+    items = F.transform("l", lambda x: x["__lot"])
+    checked = joined.select("video_id", F.coalesce(items, F.slice(items, 1, 0), F.array().cast(joined.select(items.alias("x")).schema["x"].dataType)).alias("items"), error.alias("error"))
+    return Checked(checked.select("video_id", F.when(F.col("error").isNull(), F.col("items")).alias("items"), "error"), "pos", ("pos", *FIELDS))
+
+
 def metadata(rows: DataFrame, text: str = "value") -> DataFrame:
     """rows with date, city, auctioneer, farm, auction_type and notes of a JSON object in the text.
 

@@ -68,20 +68,123 @@ def test_every_question_is_put_once(spark, evidence, tmp_path):
         assert len(list(asked.iterdir())) == 8
 
 
-def test_prior_lots(spark, evidence, tmp_path):
-    two = [lot(2, 3000.0), lot(1, 3000.0)]
+def loop(windows, say, prompt):
+    """The questions of a plain loop over one video's windows, and the answers to them."""
+    import re
+
+    kept, asked = set(), []
+    for w in windows:
+        prior = str(sorted(kept)) if kept else "nenhum ainda"
+        question = f"{prompt}\n\nLotes já encontrados (não repetir): {prior}\n\nSegmento [{w.label}]:\n\n{w.combined_text}"
+        asked.append(question)
+        try:
+            found = [x["lot_number"] for x in json.loads(say(question)) if isinstance(x["num_animals"], int)]
+        except Exception:
+            continue
+        if len(found) > 12:
+            found = [n for n in found if n in kept or re.search(rf"LOTE 0*{n}\b", w.combined_text)]
+        kept |= set(found)
+    return asked
+
+
+def test_windows_in_order(spark, tmp_path):
+    """After any failures the questions are those of a plain loop, and known answers are not asked for again."""
+    shown = [(v, i, f"{i:02d}:00:00", [f"LOTE {7 * i + k:02d}" for k in range(2)]) for v in "vw" for i in range(5)]
+    ocr = spark.createDataFrame([(v, i, f"{i * 540 // 3600:02d}:{i * 540 % 3600 // 60:02d}:30", t) for v, i, _, t in shown], schemas.OCR)
+    windows = auctions.windows(spark.createDataFrame([], schemas.SEGMENTS), ocr)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    fails = tmp_path / "fails"
+    one = lot(0, 3000.0)
 
-    def answer(prompt):
-        prior = prompt.split("repetir): ")[1].split("\n")[0]
-        if "fim" in prompt:
+    def say(question):
+        import hashlib
+
+        h = int(hashlib.md5(question.encode()).hexdigest(), 16)
+        if fails.exists() and h % 2:
             raise RuntimeError("500")
-        return f"said {json.dumps([x | {'notes': prior} for x in two])}", 5, 1
+        # bursts of invented lots, invalid ones, and lots that are known
+        numbers = range(1, 31) if h % 3 == 0 else [h % 9, h % 40, 7]
+        return json.dumps([one | {"lot_number": n, "num_animals": 5 if n % 4 else "many"} for n in numbers])
+
+    def told(question):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(question)
+        return say(question), 5, 1
+
+    provider = providers.Called(told, "p", in_order=True, store=f"{tmp_path}/a")
+    by_video = {v: windows.where(F.col("video_id") == v).orderBy("window_idx").collect() for v in "vw"}
+    assert len(by_video["v"]) == 5
+    before = set()
+    for failing in (True, False):
+        fails.touch() if failing else fails.unlink()
+        rows = provider.extract(windows).collect()
+        want = [q for v in "vw" for q in loop(by_video[v], say, "p")]
+        new = {p.name: p.read_text() for p in asked.iterdir() if p.name not in before}
+        assert set(new.values()) <= set(want) and set(want) <= {p.read_text() for p in asked.iterdir()}
+        assert {(r.video_id, r.window_idx) for r in rows} == {(v, i) for v in "vw" for i in range(5)}
+        assert all((r.error is None) == (r.response is not None) for r in rows)
+        before |= set(new)
+    # all is answered now: nothing is asked again
+    assert {r.response for r in provider.extract(windows).collect()} == {r.response for r in rows} and len(list(asked.iterdir())) == len(before)
+    with pytest.raises(ValueError):
+        providers.Called(told, in_order=True).extract(windows)
+    assert providers.Called(told, in_order=True, store=f"{tmp_path}/b").extract(windows.limit(0)).collect() == []
+
+
+def test_other_words_are_another_question(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def answer(prompt):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(prompt)
+        return prompt.rsplit("\n", 1)[1]
+
+    window = lambda *texts: spark.createDataFrame([("v", i, 0, 600, "L", t) for i, t in enumerate(texts)], schemas.WINDOWS)
+    said = lambda w, **more: [r.response for r in providers.Called(answer, "p", store=f"{tmp_path}/s", **more).extract(w).orderBy("window_idx").collect()]
+    assert said(window("OLD")) == ["OLD"] and said(window("NEW")) == ["NEW"] and said(window("OLD", "NEW", "NEW")) == ["OLD", "NEW", "NEW"]
+    assert len(list(asked.iterdir())) == 2
+    assert said(window("OLD"), model="other") == ["OLD"] and len(list(asked.iterdir())) == 3
+    store = writers.AnswerStore(spark, f"{tmp_path}/s")
+    assert store.answers().count() == 3
+    store.compact()
+    assert store.answers().count() == 3 and len(list((tmp_path / "s" / "answers").iterdir())) == 1
+    assert said(window("NEW")) == ["NEW"] and len(list(asked.iterdir())) == 3
+
 
-    rows = providers.Called(answer, "p", in_order=True, store=f"{tmp_path}/a").extract(evidence).orderBy("video_id", "window_idx").collect()
-    assert [(r.video_id, r.window_idx, r.error, r.input_tokens) for r in rows] == [("u", 0, None, 5), ("v", 0, None, 5), ("v", 1, None, 5), ("v", 2, "500", None)]
-    notes = [json.loads(r.response[5:])[0]["notes"] for r in rows[:3]]
-    assert notes == ["nenhum ainda", "nenhum ainda", "[1, 2]"]
-    assert providers.numbers_in("no list") == [] == providers.numbers_in("[1, {") and providers.numbers_in('x [{"lot_number": "7"}, 3] y') == [7]
+def test_a_run_that_breaks_off_loses_one_batch(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def answer(rows):
+        def run(batches):
+            import uuid
+
+            for pdf in batches:
+                for t in pdf["body"]:
+                    (asked / uuid.uuid4().hex).write_text(t)
+                    if (asked.parent / "kill").exists() and len(list(asked.iterdir())) > 50:
+                        raise SystemError("killed")
+                yield pdf[["answer_key"]].assign(response=pdf["body"], input_tokens=1, output_tokens=1, error=None)
+
+        return rows.coalesce(1).mapInPandas(run, "answer_key string, response string, input_tokens bigint, output_tokens bigint, error string")
+
+    questions = spark.range(100).select(F.col("id").alias("n"), F.concat(F.lit("q"), "id").alias("body"))
+    store = writers.AnswerStore(spark, f"{tmp_path}/s", batch=10)
+    (tmp_path / "kill").touch()
+    with pytest.raises(Exception, match="killed"):
+        store.ask(questions, ["n"], "p", "body", answer)
+    kept = store.answers().count()
+    (tmp_path / "kill").unlink()
+    tried = len(list(asked.iterdir()))
+    largest = 30  # a batch of about ten, and the attempts of its task
+    assert 0 < kept < 100 and tried - kept <= largest
+    got = store.ask(questions, ["n"], "p", "body", answer)
+    assert {(r.n, r.response) for r in got.collect()} == {(i, f"q{i}") for i in range(100)}
+    assert len(list(asked.iterdir())) - tried == 100 - kept
 
 
 def test_matrix(spark, tmp_path):
@@ -136,8 +239,6 @@ def test_providers(spark, evidence):
     assert [tuple(r) for r in used] == [("u", 1, 7, 2), ("v", 3, 21, 6)]
     packets = spark.createDataFrame([("v", 1, "text")], "video_id string, lot_number bigint, packet string")
     assert tuple(counted.verify(packets).first()) == ("v", 1, "[]")
-    told = providers.sequential(evidence, lambda text, prior: json.dumps(prior + [len(prior)]), json.loads).orderBy("video_id", "window_idx").collect()
-    assert [r.response for r in told] == ["[0]", "[0]", "[0, 1]", "[0, 1, 2]"]
     shown = spark.createDataFrame([("w", 0, 0, 600, "L", "[00:00:01] TELA: LOTE | Boa Vista | VALORPORANIMAL | 04 | R$ | 3.100 | 26BEZERRAS-08M-NELORE")], schemas.WINDOWS)
     r = auctions.extract(shown, providers.Overlay()).first()
     assert (r.lot_number, r.category, r.sex, r.num_animals, r.age_months, r.breed, r.unit_price, r.total_price) == (4, "bezerra", "fêmea", 26, 8, "NELORE", 3100.0, 80600.0)
@@ -230,8 +331,15 @@ def test_documents_round_trip(spark, tmp_path):
     out = {r.video_id: json.loads(r.value) for r in writers.result_document(a, stored).collect()}
     assert out["v1"]["total_lots"] == 2 and out["v1"]["city"] is None and out["v1"]["lots"][0]["lot_number"] == 1
     assert out["v2"]["total_lots"] == 0 and out["v2"]["lots"] == []
-    writers.write_documents(doc, f"{root}/docs")
-    assert spark.read.text(f"{root}/docs", wholetext=True).count() == 1
+    wanted = spark.createDataFrame([("v1",), ("a/b ç",), ("none",)], "video_id string")
+    whole = writers.document(seg, ["video_id"], "seg_idx", ["start", "end", "text"], wanted=wanted)
+    writers.write_documents(whole, f"{root}/docs", "transcript")
+    writers.write_documents(whole.where("video_id = 'v1'").withColumn("value", F.lit("[]")), f"{root}/docs", "transcript")
+    back = {r.video_id: json.loads(r.value) for r in readers.stage_documents(spark, f"{root}/docs", "transcript").collect()}
+    assert back == {"v1": [], "a/b ç": [], "none": []} and len(list((tmp_path / "docs").glob("*.json"))) == 3
+    writers.write_documents(whole, f"{root}/docs", "transcript")
+    assert readers.checked_segments(readers.stage_documents(spark, f"{root}/docs", "transcript", ["v1", "a/b ç"])).rows.count() == 2
+    assert {r.video_id for r in readers.known_ids(spark, f"{root}/docs", "transcript", "lots").collect()} == set(back)
     writers.write_by_model(spark.createDataFrame([("a/b:c", 1)], "model string, n int"), f"{root}/models")
     assert (tmp_path / "models" / "model_dir=a_b_c").is_dir()
 
@@ -304,37 +412,220 @@ def test_streaming_windows(spark, tmp_path):
     assert (r.lots, r.avg_price, r.sold) == (2, 5.0, 1)
 
 
-def test_command_line(spark, tmp_path, capsys):
+def names(folder):
+    return sorted(p.name for p in folder.glob("*.json"))
+
+
+def put_evidence(folder, *ids):
+    folder.mkdir(exist_ok=True)
+    for i in ids:
+        (folder / f"transcript_{i}.json").write_text('[{"start": 0, "end": 1.5, "text": "olá"}]')
+        (folder / f"ocr_results_{i}.json").write_text('{"00:00:01": ["LOTE", "Boa Vista", "VALORPORANIMAL", "04", "R$", "3.100", "26BEZERRAS-08M-NELORE"]}')
+
+
+def test_documents_stay_and_failures_are_rows(spark, tmp_path, capsys):
     from sparkyard.plans.__main__ import main
 
     folder, out = tmp_path / "docs", tmp_path / "out"
-    folder.mkdir()
-    (folder / "transcript_a.json").write_text('[{"start": 0, "end": 1.5, "text": "olá"}]')
-    (folder / "ocr_results_a.json").write_text('{"00:00:01": ["LOTE", "Boa Vista", "VALORPORANIMAL", "04", "R$", "3.100", "26BEZERRAS-08M-NELORE"]}')
-    assert main(["extract", str(folder), str(out)]) == 0
-    got = spark.read.parquet(f"{out}/lots/rows").first()
-    assert (got.video_id, got.lot_number, got.total_price) == ("a", 4, 80600.0)
-    assert main(["extract", str(folder), str(out)]) == 0
-    assert spark.read.parquet(f"{out}/lots/rows").count() == 1
-    (folder / "video_info_a.json").write_text('{"title": "Leilão", "description": null}')
-    for more in ([], ["--no-resume", "--show-table"]):
-        assert main(["run", str(folder), str(out), "https://youtu.be/a", "https://youtu.be/b", *more]) == 0
-        result = json.loads(spark.read.text(f"{out}/results/video_id=a", wholetext=True).first()[0])
-        assert result["total_lots"] == 1 and result["lots"][0]["total_price"] == 80600.0 and result["video_url"] == "https://youtu.be/a" and result["city"] is None
-    assert "Extract lots: 0m" in capsys.readouterr().out
-    (folder / "lots_a.json").write_text(json.dumps([lot(1, 3000.0), lot(2, 4000.0)]))
-    (folder / "metadata_a.json").write_text('{"farm": "Santa Rita"}')
-    assert main(["batch", str(folder), str(out / "b"), "https://youtu.be/a"]) == 0
-    assert main(["batch", str(folder), str(out / "b"), "https://youtu.be/a", "https://youtu.be/z"]) == 1
-    report = json.loads(spark.read.text(f"{out}/b/batch_summary").first()[0])
-    assert report["totals"]["failed"] == 1 and report["items"][0]["auction_name"] == "Santa Rita"
-    assert main(["batch", str(folder), str(out / "b")]) == 2
-    (folder / "lots_a.json").write_text(json.dumps([lot(1, 1.0, sex="x"), lot(2, 4000.0), lot(1, 3000.0)]))
-    assert main(["evaluate", str(folder), str(out / "e"), str(folder)]) == 0
-    assert spark.read.json(f"{out}/e/evaluation").first().matched == 2
-    assert spark.read.json(f"{out}/e/evaluation").first().coverage == 1.0
+    put_evidence(folder, "good", "two", "bad", "worse")
+    (folder / "transcript_bad.json").write_text('[{"start": 0, "end": 1, "te')
+    (folder / "ocr_results_worse.json").write_text('{"00:00:01": "no list"}')
+    (folder / "transcript_silent.json").write_text("[]")
+    (folder / "video_info_good.json").write_text('{"title": "Leilão", "description": null}')
+    url = "https://youtu.be/"
+    assert main(["run", str(folder), str(out), url + "good"]) == 0
+    assert names(out) == ["lots_good.json", "metadata_good.json", "result_good.json"]
+    result = json.loads((out / "result_good.json").read_text())
+    assert result["total_lots"] == 1 and result["lots"][0]["total_price"] == 80600.0 and result["video_url"] == url + "good" and result["city"] is None
+    first = (out / "result_good.json").stat().st_mtime_ns
+    more = [url + x for x in ("two", "bad", "silent", "gone")]
+    assert main(["run", str(folder), str(out), *more, "https://example.com/", url + "worse", "--batch-name", "b 1"]) == 1
+    assert names(out) == [f"{s}_{v}.json" for s in ("lots", "metadata", "result") for v in ("good", "silent", "two")]
+    assert (out / "result_good.json").stat().st_mtime_ns == first
+    assert json.loads((out / "lots_silent.json").read_text()) == [] and json.loads((out / "metadata_silent.json").read_text()) == {}
+    assert json.loads((out / "result_silent.json").read_text())["lots"] == []
+    report = json.loads(spark.read.text(f"{out}/batches/b-1/batch_summary").first()[0])
+    assert [(i["index"], i["status"], i["error"]) for i in report["items"]] == [
+        (1, "success", None),
+        (2, "failed", "transcript: no such JSON"),
+        (3, "success", None),
+        (4, "failed", "no transcript or screen text"),
+        (5, "failed", "no video id in https://example.com/"),
+        (6, "failed", "ocr_results: no such JSON"),
+    ]
+    assert report["totals"]["failed"] == 4 and report["totals"]["lots"] == 1
+    assert "failed (2): transcript: no such JSON" in capsys.readouterr().err
+    # the first failure ends the run before later stages
+    stopped = tmp_path / "stopped"
+    assert main(["run", str(folder), str(stopped), url + "good", url + "bad", url + "two", "--stop-on-error", "--batch-name", "s"]) == 1
+    assert names(stopped) == ["lots_good.json", "metadata_good.json", "result_good.json"]
+    assert json.loads(spark.read.text(f"{stopped}/batches/s/batch_summary").first()[0])["totals"]["videos"] == 2
+    # ids that no URL holds come from a table
+    (tmp_path / "lookup.json").write_text('{"url": "https://example.com/live", "video_id": "two"}\n')
+    assert main(["run", str(folder), str(tmp_path / "found"), "https://example.com/live", "--lookup", str(tmp_path / "lookup.json")]) == 0
+    assert names(tmp_path / "found") == ["lots_two.json", "metadata_two.json", "result_two.json"]
+    # what a run writes is what batch and evaluate read
+    assert main(["batch", str(out), str(tmp_path / "report"), url + "good", url + "silent", "--batch-name", "again"]) == 0
+    assert main(["batch", str(out), str(tmp_path / "report"), url + "good", url + "gone"]) == 1
+    assert main(["batch", str(out), str(tmp_path / "report")]) == 2
+    (out / "lots_two.json").write_text('[{"lot_number": 1}]')
+    assert main(["batch", str(out), str(tmp_path / "report"), url + "two", url + "good", "--batch-name", "bad lot"]) == 1
+    report = json.loads(spark.read.text(f"{tmp_path}/report/batches/bad-lot/batch_summary").first()[0])
+    assert report["items"][0]["error"].startswith("lots: invalid sex, category") and report["totals"]["lots"] == 1
+    assert main(["evaluate", str(out), str(tmp_path / "e"), str(tmp_path / "found")]) == 0
+    assert {r.video_id: r.error for r in spark.read.json(f"{tmp_path}/e/unreadable").collect()}.keys() == {"two"}
+
+
+def test_only_what_has_changed_is_made_anew(spark, tmp_path):
+    from sparkyard.plans import runs
+
+    folder, out, asked = tmp_path / "docs", tmp_path / "out", tmp_path / "asked"
+    put_evidence(folder, "a", "b")
+    asked.mkdir()
+    listed = json.dumps([lot(1, 3000.0)])
+
+    def answer(prompt):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(prompt)
+        return listed if prompt.startswith("extract") else '{"city": "Goiânia", "farm": null}'
+
+    def go(**more):
+        outcome = runs.run(spark, str(folder), str(out), auctions.Settings(), providers.Called(answer, "extract", None, "facts"), **more)
+        assert outcome.failures.count() == 0 and outcome.lots.count() == 2
+        made = len(list(asked.iterdir()))
+        return made, {p.name: p.stat().st_mtime_ns for p in out.glob("*.json")}
+
+    made, first = go()
+    assert made == 4 and len(first) == 6
+    assert json.loads((out / "metadata_a.json").read_text())["farm"] is None and json.loads((out / "result_a.json").read_text())["city"] == "Goiânia"
+    assert go() == (4, first)
+    (folder / "transcript_a.json").write_text('[{"start": 0, "end": 1.5, "text": "outra"}]')
+    made, second = go()
+    assert made == 6 and {n for n in first if first[n] != second[n]} == {"lots_a.json", "metadata_a.json", "result_a.json"}
+    # a title is asked about in the metadata only
+    (folder / "video_info_b.json").write_text('{"title": "T", "description": "d"}')
+    made, third = go()
+    assert made == 7 and {n for n in first if third[n] != second[n]} == {"lots_b.json", "metadata_b.json", "result_b.json"}
+    (out / "result_b.json").unlink()
+    assert go()[0] == 7 and (out / "result_b.json").exists()
+    # made anew from the answers that are there
+    assert go(resume=False)[0] == 7
+
+
+def test_files_of_others_are_not_opened(spark, tmp_path):
+    put_evidence(tmp_path / "d", *"abcdef")
+    found = readers.stage_documents(spark, str(tmp_path / "d"), "transcript", ["b", "e"])
+    assert {r.video_id for r in found.collect()} == {"b", "e"}
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    assert plan.collectLeaves().apply(0).metrics().get("numFiles").get().value() == 2
+
+
+def test_a_writer_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(list(r), "video_id string, value string")
+    writers.write_documents(rows(("a", "[1]"), ("b", None), ("a", "[0]")), str(tmp_path), "lots")
+    assert names(tmp_path) == ["lots_a.json"] and (tmp_path / "lots_a.json").read_text().strip() == "[1]"
+    with monkeypatch.context() as m:
+        m.setattr(writers, "move", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            writers.write_documents(rows(("a", "[2]"), ("c", "[3]")), str(tmp_path), "lots")
+    assert (tmp_path / "lots_a.json").read_text().strip() == "[1]"
+    writers.write_documents(rows(("d", "[4]")), str(tmp_path), "lots")
+    assert names(tmp_path) == ["lots_a.json", "lots_c.json", "lots_d.json"] and (tmp_path / "lots_a.json").read_text().strip() == "[2]"
+
+
+def test_checked_documents(spark):
+    rows = lambda *values: spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "video_id string, value string")
+    bad = ["[1]", "{}", "", None, "x", "[] y", '[],"x":[]', '[{"start": 1, "end": 2}]', '[{"start": "s", "end": 2, "text": "t"}]', "null", "[null]"]
+    read = readers.checked_segments(rows('[{"start": 0, "end": 1, "text": "a"}]', "[]", *bad))
+    assert [tuple(r) for r in read.rows.collect()] == [("0", 0, 0.0, 1.0, "a")]
+    assert {r.video_id for r in read.failures.collect()} == {str(i + 2) for i in range(len(bad))}
+    o = readers.checked_ocr(rows('{"00:00:00": ["a"], "00:00:30": ["b"], "00:00:00": ["c"]}', "{}", '{"00:00:00": ["a"', '{"00:00:00": 5}', '{"00:00:00": null}', "[]"))
+    assert [tuple(r) for r in o.rows.orderBy("ocr_idx").collect()] == [("0", 0, "00:00:00", ["c"]), ("0", 1, "00:00:30", ["b"])]
+    assert {r.video_id for r in o.failures.collect()} == {"2", "3", "4", "5"}
+    f = readers.checked_frames(rows('[{"seconds": 30, "timestamp_str": "00:00:30", "path": "p"}]', '[{"seconds": 30}]'))
+    assert [tuple(r) for r in f.rows.collect()] == [("0", 0, 30, "00:00:30", "p")] and f.failures.count() == 1
+    stored = readers.checked_lots(rows(json.dumps([lot(1, "50"), lot(2, None)]), "[]", json.dumps([lot(1, 5.0), lot("x", 5.0)]), "{", json.dumps([1])))
+    assert [(r.video_id, r.pos, r.lot_number, r.unit_price) for r in stored.rows.orderBy("pos").collect()] == [("0", 0, 1, 50.0), ("0", 1, 2, None)]
+    assert {r.video_id: r.error for r in stored.failures.collect()} == {"2": "lots: invalid lot_number", "3": "lots: no such JSON", "4": "lots: invalid shape"}
+
+
+def test_endpoint(spark, tmp_path, monkeypatch):
+    """A model over HTTP: answers, tokens, waits, a key that is missing."""
+    import http.server
+    import threading
+
+    from sparkyard.plans import endpoint
+    from sparkyard.plans.__main__ import main
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        asked: list = []
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            Model.asked.append((self.path, self.headers["Authorization"], body))
+            status = 429 if len(Model.asked) == 1 else 200
+            said = {"choices": [{"message": {"content": json.dumps([lot(3, 2000.0)])}}], "usage": {"prompt_tokens": 11, "completion_tokens": 2}}
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(said if status == 200 else {"error": "slow down"}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    try:
+        call = endpoint.endpoint("openai", url=url)
+        waits = []
+        assert providers.with_retries(call, sleep=waits.append)("hi") == (json.dumps([lot(3, 2000.0)]), 11, 2) and waits == [5]
+        path, key, body = Model.asked[-1]
+        assert (path, key, body["model"], body["messages"][0]["content"]) == ("/v1/chat/completions", "Bearer k", "gpt-4.1-mini", "hi")
+        # the workers of this session were started without the key: every window fails, the video has no lots
+        put_evidence(tmp_path / "docs", "a")
+        (tmp_path / "p.txt").write_text("extract")
+        assert main(["extract", str(tmp_path / "docs"), str(tmp_path / "out"), "--call", "--provider", "openai", "--endpoint", url, "--prompt", str(tmp_path / "p.txt")]) == 0
+        assert names(tmp_path / "out") == ["lots_a.json"]
+        errors = {r.error for r in writers.AnswerStore(spark, f"{tmp_path}/out/_stages/answers").answers().collect()}
+        assert errors <= {None, "OPENAI_API_KEY is not set"}
+        monkeypatch.delenv("OPENAI_API_KEY")
+        with pytest.raises(RuntimeError, match="not set"):
+            call("hi")
+        with pytest.raises(ValueError):
+            endpoint.endpoint("nobody")
+    finally:
+        server.shutdown()
+
+
+def test_evaluation_of_models(spark, tmp_path):
+    from sparkyard.plans.__main__ import main
+
+    for name, lots_ in (("ref", [lot(1, 3000.0), lot(2, 4000.0)]), ("m/x", [lot(1, 3300.0), lot(5, 1.0)]), ("m/y", [lot(2, 4000.0, sex="fêmea")])):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "lots_v.json").write_text(json.dumps(lots_))
+    (tmp_path / "m/y/lots_w.json").write_text("[")
+    run = {"video_id": "v", "provider": "p", "status": "ok", "elapsed_seconds": 10.0, "llm_calls": 2, "lot_count": 2}
+    (tmp_path / "runs.json").write_text("\n".join(json.dumps(run | {"model": m, "input_tokens": 1_000_000, "output_tokens": 500_000}) for m in "xy"))
+    (tmp_path / "prices.json").write_text("\n".join(json.dumps({"model": m, "input_price": p, "output_price": 2.0}) for m, p in (("x", 1.0), ("y", 3.0))))
+    assert main(["evaluate", str(tmp_path / "m"), str(tmp_path / "e"), str(tmp_path / "ref"), "--models", "x", "y", "--runs", str(tmp_path / "runs.json"), "--prices", str(tmp_path / "prices.json")]) == 0
+    got = {r.model: r for r in spark.read.json(f"{tmp_path}/e/evaluation").collect()}
+    assert (got["x"].matched, got["x"].missing, got["x"].extra, round(got["x"].mape, 6), got["y"].sex_match) == (1, 1, 1, 0.1, 0.0)
+    assert {r.model: r.cost for r in spark.read.json(f"{tmp_path}/e/totals").collect()} == {"x": 2.0, "y": 4.0}
+    side = {r.metric: (r.x, r.y) for r in spark.read.json(f"{tmp_path}/e/side_by_side").collect()}
+    assert side["coverage"] == (0.5, 0.5) and side["cost"] == (2.0, 4.0)
+    assert {r.model for r in spark.read.json(f"{tmp_path}/e/prices").collect()} == {"x", "y", "reference"}
+    assert [(r.model, r.video_id) for r in spark.read.json(f"{tmp_path}/e/unreadable").collect()] == [("y", "w")]
+    assert spark.read.json(f"{tmp_path}/e/runs").count() == 2
+
+
+def test_run_tables(spark, tmp_path):
     assert writers.metadata_document(spark.createDataFrame([("a", None)], "video_id string, city string"), ["city"]).first().value == "{}"
+    facts = spark.createDataFrame([("a", None, "x")], "video_id string, city string, farm string")
+    assert writers.metadata_document(facts, ["city", "farm"]).first().value == '{"city":null,"farm":"x"}'
     runs = spark.createDataFrame([("a", "m", "x" * 900)], "video_id string, model string, error string")
-    writers.append_run(runs, f"{out}/runs")
-    writers.append_run(runs, f"{out}/runs")
-    assert [len(r.error) for r in spark.read.parquet(f"{out}/runs").collect()] == [400, 400]
+    writers.append_run(runs, f"{tmp_path}/runs")
+    writers.append_run(runs, f"{tmp_path}/runs")
+    assert [len(r.error) for r in spark.read.parquet(f"{tmp_path}/runs").collect()] == [400, 400]
