@@ -177,7 +177,13 @@ def run(
     if not resume:
         for table in (lots, facts, results):
             table.clear(e.keys.select("video_id"))
-    windows_of = lambda keys: auctions.windows(*(df.join(keys, "video_id", "left_semi") for df in (e.segments, e.ocr)), settings)
+
+    def windows_of(keys: DataFrame) -> DataFrame:
+        """Windows of these videos, put together once and read by everything that is made of them."""
+        place = f"{work}/windows/{uuid.uuid4().hex}"
+        auctions.windows(*(df.join(keys, "video_id", "left_semi") for df in (e.segments, e.ocr)), settings).write.parquet(place)
+        return spark.read.parquet(place)
+
     recorded = lambda name: _answer_digests(getattr(provider, name, None), e.keys)
     wanted = _depends(e.keys, e.keys, recorded("responses"), recorded("verdicts"))
     with auctions.stage(spark, "Extract lots"):

@@ -170,12 +170,12 @@ def checked_ocr(rows: DataFrame) -> Checked:
 
 def checked_lots(rows: DataFrame) -> Checked:
     """Stored lots (video_id, value), re-validated: one invalid lot makes the document unreadable."""
-    spoken = rows.select("video_id", J.kind(J.strict_json("value")).alias("k"))
+    spoken = rows.select("video_id", J.items(J.strict_json("value")).isNotNull().alias("listed"))
     read = read_lots(rows.select("video_id", "value"), "value").withColumn("__lot", F.struct(*FIELDS)).groupBy("video_id")
     read = read.agg(F.sort_array(F.collect_list(F.struct("pos", "__lot"))).alias("l"), F.array_distinct(F.flatten(F.collect_list("errors"))).alias("e"))
     joined = spoken.join(read, "video_id", "left")
     wrong = F.coalesce(F.size("e") > 0, F.lit(False))
-    error = F.when(F.coalesce(F.col("k") != "ARRAY", F.lit(True)), "lots: no such JSON").when(wrong, F.concat(F.lit("lots: invalid "), F.array_join("e", ", ")))
+    error = F.when(~F.col("listed"), "lots: no such JSON").when(wrong, F.concat(F.lit("lots: invalid "), F.array_join("e", ", ")))
     items = F.transform("l", lambda x: x["__lot"])
     checked = joined.select("video_id", F.coalesce(items, F.slice(items, 1, 0), F.array().cast(joined.select(items.alias("x")).schema["x"].dataType)).alias("items"), error.alias("error"))
     return Checked(checked.select("video_id", F.when(F.col("error").isNull(), F.col("items")).alias("items"), "error"), "pos", ("pos", *FIELDS))
