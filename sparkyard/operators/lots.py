@@ -219,3 +219,14 @@ def with_support(lots: DataFrame, windows: DataFrame) -> DataFrame:
     seen = windows.select("video_id", "window_idx", evidenced_lots("combined_text").alias("__seen"))
     joined = lots.join(seen, ["video_id", "window_idx"], "left")
     return joined.withColumn("supported", F.coalesce(has_evidence("lot_number", "__seen"), F.lit(False))).drop("__seen")
+
+
+def prior_lots(kept: DataFrame, windows: DataFrame) -> DataFrame:
+    """(video_id, window_idx, prior): the ascending numbers of lots that the windows before each one kept; null for none.
+
+    kept: video_id, window_idx, lot_number. A number counts from the first window that kept it.
+    """
+    first = kept.groupBy("video_id", "lot_number").agg(F.min("window_idx").alias("__first"))
+    joined = windows.select("video_id", "window_idx").join(first, (windows["video_id"] == first["video_id"]) & (F.col("__first") < F.col("window_idx")), "left").select(windows["video_id"], "window_idx", "lot_number")
+    listed = joined.groupBy("video_id", "window_idx").agg(F.sort_array(F.collect_set("lot_number")).alias("prior"))
+    return listed.withColumn("prior", F.when(F.size("prior") > 0, F.col("prior")))

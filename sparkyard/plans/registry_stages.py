@@ -122,6 +122,37 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", probe.alias("p")).select("o_orderkey", readers.duration(F.col("p"), "audio").alias("audio"), readers.duration(F.col("p"), "video").alias("video"))
 
 
+@_query(
+    """SELECT l_orderkey::VARCHAR AS video_id, CASE WHEN l_orderkey % 3 > 0 THEN count(*) END::BIGINT AS items, CASE WHEN l_orderkey % 3 > 0 THEN sum(l_quantity) END::DOUBLE AS seconds,
+    CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'transcript: no such JSON' ELSE 'transcript: an item without its fields' END END AS error FROM lineitem GROUP BY l_orderkey"""
+)
+def unreadable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transcripts, a third of them cut short or without texts: those are failures, the others keep all rows."""
+    li, broken = _table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 3 == 0
+    item = F.struct(F.col("l_partkey").cast("double").alias("start"), (F.col("l_partkey") + F.col("l_quantity")).cast("double").alias("end"), F.when(~broken | (F.col("l_orderkey") % 2 == 0), F.col("l_returnflag")).alias("text"))
+    docs = li.groupBy("l_orderkey").agg(F.to_json(F.collect_list(item)).alias("value"))
+    cut = F.when(broken & (F.col("l_orderkey") % 2 == 0), F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    read = readers.checked_segments(docs.select(_text("l_orderkey").alias("video_id"), cut.alias("value")))
+    good = read.rows.groupBy("video_id").agg(F.count("*").alias("items"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    return good.unionByName(read.failures, allowMissingColumns=True)
+
+
+@_query(
+    """WITH w AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+    f AS (SELECT o_custkey, l_partkey % 50 AS lot, min(i) AS first FROM w JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT w.o_custkey::VARCHAR AS video_id, w.i::INTEGER AS window_idx, 'Lotes já encontrados (não repetir): ' || coalesce('[' || string_agg(lot::VARCHAR, ', ' ORDER BY lot) || ']', 'nenhum ainda') AS question
+    FROM w LEFT JOIN f ON f.o_custkey = w.o_custkey AND first < w.i GROUP BY w.o_custkey, w.i"""
+)
+def prior_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as windows, their parts as lots: what each window is told of those before it."""
+    o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    at = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("window_idx")
+    windows = o.select(_text("o_custkey").alias("video_id"), at, "o_orderkey")
+    kept = windows.join(li.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 50).alias("lot_number")), "o_orderkey").drop("o_orderkey")
+    told = lots.prior_lots(kept, windows.drop("o_orderkey"))
+    return told.select("video_id", "window_idx", providers.prior_question(F.col("prior")).alias("question"))
+
+
 # Sinks
 
 @_query(
