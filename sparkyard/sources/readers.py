@@ -125,14 +125,16 @@ class Checked:
         return Checked(self.documents.sparkSession.read.parquet(folder), self.position, self.columns)
 
 
-def _listed(rows: DataFrame, stage: str, element: str, shape: str, whole: Callable[[Column], Column], lacks: Callable[[Column], Column]) -> DataFrame:
-    """(video_id, items, error) of rows (video_id, value): JSON of that shape, its items without what `lacks` finds."""
-    # read as an object's field, a value that does not fit its type is told in a column of its own
+def _listed(rows: DataFrame, stage: str, element: str, whole: Callable[[Column], Column], lacks: Callable[[Column], Column]) -> DataFrame:
+    """(video_id, items, error) of rows (video_id, value): JSON of type `element` and nothing more, no item of which `lacks` something."""
+    # as an object's field, a value that does not fit its type is told in a column of its own; what would end
+    # the object early does not fit into a list of one
     read = F.from_json(F.concat(F.lit('{"x":'), "value", F.lit("}")), f"x {element}, bad string", {"columnNameOfCorruptRecord": "bad"})
-    parsed = rows.select("video_id", "value", J.kind(J.strict_json("value")).alias("__k"), read.alias("__r"))
+    single = F.size(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{element}>")) == 1
+    parsed = rows.select("video_id", "value", F.coalesce(single, F.lit(False)).alias("__one"), read.alias("__r"))
     items = whole(F.col("__r.x"))
     error = (
-        F.when(F.col("value").isNull() | (F.col("__k") != shape) | F.col("__r.bad").isNotNull(), f"{stage}: no such JSON")
+        F.when(F.col("value").isNull() | ~F.col("__one") | F.col("__r.x").isNull() | F.col("__r.bad").isNotNull(), f"{stage}: no such JSON")
         .when(F.exists(items, lacks), f"{stage}: an item without its fields")
     )
     checked = parsed.select("video_id", items.alias("items"), error.alias("error"))
@@ -142,7 +144,7 @@ def _listed(rows: DataFrame, stage: str, element: str, shape: str, whole: Callab
 def checked_segments(rows: DataFrame) -> Checked:
     """Transcripts (video_id, value): every item has start, end and text."""
     lacks = lambda e: e["start"].isNull() | e["end"].isNull() | e["text"].isNull()
-    read = _listed(rows, "transcript", "array<struct<start:double,end:double,text:string>>", "ARRAY", lambda x: x, lacks)
+    read = _listed(rows, "transcript", "array<struct<start:double,end:double,text:string>>", lambda x: x, lacks)
     return Checked(read, "seg_idx", ("seg_idx", "start", "end", "text"))
 
 
@@ -150,7 +152,7 @@ def checked_frames(rows: DataFrame) -> Checked:
     """Frame indexes (video_id, value): every item has seconds, time and path."""
     lacks = lambda e: e["seconds"].isNull() | e["ts"].isNull() | e["path"].isNull()
     named_ = lambda x: F.transform(x, lambda e: F.struct(e["seconds"].alias("seconds"), e["timestamp_str"].alias("ts"), e["path"].alias("path")))
-    read = _listed(rows, "screenshots", "array<struct<seconds:int,timestamp_str:string,path:string>>", "ARRAY", named_, lacks)
+    read = _listed(rows, "screenshots", "array<struct<seconds:int,timestamp_str:string,path:string>>", named_, lacks)
     return Checked(read, "frame_idx", ("frame_idx", "seconds", "ts", "path"))
 
 
@@ -164,7 +166,7 @@ def checked_ocr(rows: DataFrame) -> Checked:
         return F.when(repeated, F.aggregate(listed, F.slice(listed, 1, 0), into)).otherwise(listed)
 
     lacks = lambda e: e["ts"].isNull() | e["tokens"].isNull()
-    read = _listed(rows, "ocr_results", "map<string,array<string>>", "OBJECT", entries, lacks)
+    read = _listed(rows, "ocr_results", "map<string,array<string>>", entries, lacks)
     return Checked(read, "ocr_idx", ("ocr_idx", "ts", "tokens"))
 
 
