@@ -12,9 +12,11 @@ Both searches work as in `simhash`: stars in place of all pairs, large groups in
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fields, map_texts
@@ -43,14 +45,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def _described(texts: list[str], width: int) -> dict[str, list]:
     import xxhash
 
-    out: dict[str, list] = {c: [] for c in ("content_id", "fp", "bands", "sig", "size")}
+    out: dict[str, list] = {c: [] for c in ("words", "fp", "bands", "sig", "size")}
     for t in texts:
+        digest = hashlib.blake2b(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
         grams = shingles(t, width)
-        words = b" ".join(t.encode("utf-8", "surrogatepass").lower().split())
         h = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype="<u8")
         least = signature(h)
         bands = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-        out["content_id"].append(np.uint64(xxhash.xxh64_intdigest(words, 7)).view(np.int64))
+        out["words"].append(digest)
         out["fp"].append(np.uint64(packed_majority(h)).view(np.int64))
         out["bands"].append(np.array(bands, np.uint64).view(np.int64))
         out["size"].append(8 * len(h))
@@ -107,18 +109,24 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(docs, ["node"], fields("content binary"), work)
 
 
+def _tag(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 3, id_col: str = "doc_id", text: str = "text", tile: int = TILE, sets: int = SETS) -> DataFrame:
     """(content_id, root, least): classes of equal word sequences, their group, their own first row.
 
+    A class has a number of its own, not a hash; its rows have equal 128-bit digests of their words.
     least is the struct (last, id, tag) of the row that comes first: the smallest id (null: after
-    all others) and the digest of its text. Rows group when a chain of pairs at `similarity` or
+    all others) and the digest of its text (128 bits). Rows group when a chain of pairs at `similarity` or
     more joins them.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.col(text).alias("text"))
-    described = map_texts(own, ["id", "tag"], fields("content_id bigint, fp bigint, bands array<bigint>, sig binary, size bigint"), lambda texts: _described(texts, width))
+    own = docs.select(F.col(id_col).alias("id"), _tag(text).alias("tag"), F.col(text).alias("text"))
+    described = map_texts(own, ["id", "tag"], fields("words binary, fp bigint, bands array<bigint>, sig binary, size bigint"), lambda texts: _described(texts, width))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "tag")
-    classes = described.groupBy("content_id").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"))
-    classes = checkpointed(classes)
+    classes = described.groupBy("words").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    # numbers are fixed by the checkpoint that they are written to
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("content_id"), "least", "fp", "bands", "sig", "size"))
     keys = F.concat(F.col("bands"), tables(F.col("fp"), distance))
     met = in_tiles(classes.select(F.col("content_id").alias("node"), F.explode(keys).alias("key")), tile)
     met = met.join(classes.select(F.col("content_id").alias("node"), F.col("sig").alias("content")), "node")
@@ -136,18 +144,19 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with the columns of docs: that of the smallest id.
 
-    Null and empty texts form one group; of fully repeated rows one stays; rows of one id with
-    different texts are told apart; whole texts count, however long, and large groups of long ones
+    Null and empty texts form one group; of rows with one id and text, that whose other columns have
+    the least digest stays, of fully repeated rows one; rows of one id with different texts are told apart; whole texts count, however long, and large groups of long ones
     are searched in tiles bounded by bytes; further columns stay; an empty table gives no rows.
     """
     groups = near_duplicate_groups(docs, width, similarity, id_col=id_col, text=text)
     # a group's rows meet in the partial minima, whatever its size
     first = groups.groupBy("root").agg(F.min("least").alias("first"))
     stay = first.select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag"))
-    tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    tag = _tag(text)
     kept = docs.join(stay, (docs[id_col].eqNullSafe(stay["__id"])) & (tag == stay["__tag"]), "left_semi")
     twice = docs.groupBy(F.col(id_col), tag).agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return kept
-    own = next(f"__tag{i}" for i in range(len(docs.columns) + 1) if f"__tag{i}" not in docs.columns)
-    return kept.withColumn(own, tag).dropDuplicates([id_col, own]).drop(own)
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    rows = kept.select(F.col(id_col).alias("id"), tag.alias("tag"), whole.alias("row"), F.md5(F.to_json(whole)).alias("digest"))
+    return rows.groupBy("id", "tag").agg(F.min_by("row", "digest").alias("row")).select("row.*")

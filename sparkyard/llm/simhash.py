@@ -4,8 +4,11 @@ A fingerprint is cut into BLOCKS blocks. Two that differ in at most d bits agree
 BLOCKS - d blocks, so every close pair meets in at least one of the tables keyed by a choice of
 BLOCKS - d blocks. With 64 bits, d = 3 and 6 blocks that is 20 tables with keys of about 32 bits,
 which keeps buckets small as the corpus grows. Buckets are searched in Arrow functions, which
-return a star per group of linked fingerprints rather than all pairs; a bucket above TILE is cut
-into tiles, and each pair of tiles is a task of its own, so that no bucket has to fit one task.
+return a star per group of linked fingerprints rather than all pairs. In a bucket above HOT tiles the
+pigeonhole is applied again: its rows agree on some bits, the others are cut into d + 1 parts, and
+close rows agree on one of these, so a row goes to d + 1 smaller buckets, whatever the bucket's size.
+What is above TILE then is cut into tiles, and each pair of tiles is a task of its own, so that no
+bucket has to fit one task.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, checkpointed, fields, map_texts, small_batches
+from .common import apart, checkpointed, fields, known_array, map_texts, small_batches
 from .components import connected_components
 
 BITS, BLOCKS, TILE = 64, 6, 2048
+#: Tiles of a bucket from which on it is cut by further bits, and how often that is done.
+HOT, LEVELS = 8, 3
 #: Bits of each byte value, lowest first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
 
@@ -159,22 +164,61 @@ def searched(met: DataFrame, near: Callable, content: Callable[[pa.Array], np.nd
     return met.mapInArrow(bucket_search(near, content, pairwise), "a bigint, b bigint")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _masks(distance: int) -> list[int]:
+    """The bits that each table is keyed by."""
+    return [sum(((1 << (b - a)) - 1) << a for a, b in chosen) for chosen in combinations(_bounds(), BLOCKS - distance)]
+
+
 def tables(fp: Column, distance: int) -> Column:
     """The keys of a fingerprint, one a table: the table's number and the bits of its blocks."""
-    keys = []
-    for number, chosen in enumerate(combinations(_bounds(), BLOCKS - distance)):
-        mask = sum(((1 << (b - a)) - 1) << a for a, b in chosen)
-        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*keys)
+    return F.array(*(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(_signed(mask)))) for number, mask in enumerate(_masks(distance))))
 
 
-def close_links(fps: DataFrame, distance: int = 3, tile: int = TILE) -> DataFrame:
+def finer(masks: list[int], distance: int) -> list[int]:
+    """distance + 1 masks for each one, side by side: its bits and a part of all others; rows within distance agree on one of them."""
+    out = []
+    for mask in masks:
+        others = [i for i in range(BITS) if not mask >> i & 1]
+        cuts = [len(others) * i // (distance + 1) for i in range(distance + 2)]
+        out += [mask | sum(1 << i for i in others[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def blocked(fps: DataFrame, distance: int, hot: int) -> DataFrame:
+    """(node, key): the buckets of all tables; those above `hot` rows are cut by further bits, up to LEVELS times.
+
+    A fingerprint enters a bucket once, so a table of no more than `hot` fingerprints is not counted.
+    """
+    masks = _masks(distance)
+    keyed = fps.select(F.col("fp").alias("node"), F.posexplode(tables(F.col("fp"), distance)).alias("number", "key"))
+    if fps.limit(hot + 1).count() <= hot:
+        return keyed.select("node", "key")
+    done = []
+    for level in range(1, LEVELS + 1):
+        full = checkpointed(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"))
+        if full.isEmpty():
+            break
+        done.append(keyed.join(apart(full, "key"), "key", "left_anti").select("node", "key"))
+        masks = finer(masks, distance)
+        part = F.explode(F.sequence(F.col("number") * (distance + 1), F.col("number") * (distance + 1) + distance)).alias("number")
+        keyed = keyed.join(apart(full, "key"), "key", "left_semi").select("node", part)
+        bits = F.col("node").bitwiseAND(F.element_at(known_array([_signed(m) for m in masks], "bigint"), F.col("number") + 1))
+        keyed = keyed.withColumn("key", F.xxhash64(F.lit(level), "number", bits))
+    for cold in done:
+        keyed = keyed.select("node", "key").unionByName(cold)
+    return keyed.select("node", "key")
+
+
+def close_links(fps: DataFrame, distance: int = 3, tile: int = TILE, hot: int | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints within `distance` bits, stars in place of all pairs.
 
-    fps: one distinct fingerprint a row, column fp.
+    fps: one distinct fingerprint a row, column fp. hot: rows of a bucket from which on it is cut (HOT tiles).
     """
-    keyed = fps.select(F.col("fp").alias("node"), F.explode(tables(F.col("fp"), distance)).alias("key"))
-    met = in_tiles(keyed, tile).withColumn("content", F.col("node"))
+    met = in_tiles(blocked(fps, distance, hot or HOT * tile), tile).withColumn("content", F.col("node"))
     return searched(met, lambda rest, one: np.bitwise_count(rest ^ one) <= distance)
 
 

@@ -33,9 +33,8 @@ from .common import BATCH_BYTES, by_bytes, checkpointed, fields, plan_bytes, rel
 
 #: Words of a window, and of the runs among which its anchor is found.
 K, ANCHOR = 13, 5
-#: Parts that a shuffle partition is settled in, one after the other; bytes of files for a part, and most parts: beyond
-#: them the paths of a portion get too short to pack well.
-PARTS, PART_BYTES, MOST_PARTS = 8, 32 << 20, 50_000
+#: Parts that a shuffle partition is settled in, one after the other; bytes of the input for a part, however many they are.
+PARTS, PART_BYTES = 8, 32 << 20
 #: Windows to be looked up by their words that travel to all tasks.
 SENT = 10_000
 #: Rank of a null id: after all others.
@@ -102,7 +101,7 @@ def _later_copies(edge: np.ndarray, anchor: np.ndarray, rank: np.ndarray) -> tup
     if not len(edge):
         return none, none
     order = np.argsort(edge)
-    starts = _groups((edge[order], anchor[order]))
+    starts = _groups((edge[order],))  # of any anchor: the order is by edge alone
     sizes = np.diff(np.append(starts, len(order)))
     several = np.repeat(sizes > 1, sizes)
     order = order[several]
@@ -297,7 +296,10 @@ def proposed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     small_batches(docs.sparkSession)
     session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs, (), id_col, text)
-    parts = max(PARTS * session, min(MOST_PARTS, (plan_bytes(docs) or 0) // PART_BYTES))
+    size = plan_bytes(docs)
+    if size is None:  # no estimate: counted
+        size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    parts = max(PARTS * session, size // PART_BYTES)
     sent = rows.select("__rank", "__tag", "__text").mapInArrow(_send(parts, portion_bytes, bits), _SENT)
     met = sent.repartition(max(session, parts // PARTS), "part").sortWithinPartitions("part")
     spans = met.mapInArrow(_settle, "rank bigint, tag bigint, spans binary")

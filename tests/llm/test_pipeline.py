@@ -71,6 +71,12 @@ def test_near_duplicates(spark, seed, tile):
     assert drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_text_keep_the_same_one(spark):
+    rows = [(1, "the same words in every row", i) for i in range(50)] + [(2, "other words that stand alone", 3)]
+    kept = [sorted(map(tuple, drop_near_duplicates(spark.createDataFrame(r, "doc_id bigint, text string, extra int").repartition(n)).collect())) for n, r in ((1, rows), (4, rows[::-1]), (3, rows[20:] + rows[:20]))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 

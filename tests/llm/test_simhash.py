@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkyard.llm.components import connected_components
-from sparkyard.llm.simhash import close_links, fingerprint, in_tiles, simhash_components
+from sparkyard.llm.simhash import blocked, close_links, fingerprint, in_tiles, simhash_components
 
 
 def plain_fingerprint(text, width):
@@ -42,8 +42,8 @@ def test_fingerprint(text):
     assert fingerprint(text, 3) == plain_fingerprint(text, 3)
 
 
-@pytest.mark.parametrize("tile", [3, 2048])
-def test_links_join_what_brute_force_joins(spark, tile):
+@pytest.mark.parametrize("tile,hot", [(3, 1000), (3, 4), (2048, 2), (2048, None)])
+def test_links_join_what_brute_force_joins(spark, tile, hot):
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(25):
@@ -57,11 +57,25 @@ def test_links_join_what_brute_force_joins(spark, tile):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = [signed(x) for x in fps]
     want = plain_components(nodes, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
-    links = close_links(spark.createDataFrame([(x,) for x in nodes], "fp bigint"), 3, tile)
+    links = close_links(spark.createDataFrame([(x,) for x in nodes], "fp bigint"), 3, tile, hot)
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_a_hot_bucket_is_cut_by_further_bits(spark):
+    n = 60000
+    fps = spark.range(n).select(F.xxhash64("id").bitwiseAND(F.lit((1 << 32) - 1)).alias("fp")).distinct()
+    whole = fps.count()
+    met = in_tiles(blocked(fps, 3, 8 * 2048), 2048)
+    # one table's bucket holds all rows: 4 rows for each in place of a row a tile
+    assert met.count() <= (19 + 4) * whole
+    assert met.groupBy("key", "t", "u").count().agg(F.max("count")).first()[0] <= 2 * 2048
+    links = spark.createDataFrame([(1 << 40,), ((1 << 40) + 7,), ((1 << 40) + 15,)], "fp bigint").union(fps)
+    got = close_links(links, 3)
+    near = got.where(F.col("a").isin(1 << 40, (1 << 40) + 7, (1 << 40) + 15)).collect()
+    assert {(1 << 40) + 7, (1 << 40) + 15} <= {x for r in near for x in r}
+
+
 def test_a_bucket_with_a_third_of_all_rows_is_split(spark):
     own = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k"}
     before = {k: spark.conf.get(k) for k in own}

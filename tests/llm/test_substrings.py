@@ -79,3 +79,20 @@ def test_packing():
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_equal_edges_under_two_anchors():
+    import numpy as np
+
+    edge, anchor = np.array([5, 5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 2, 1], np.uint64)
+    later, source = substrings._later_copies(edge, anchor, np.array([1, 1, 2, 2, 9]))
+    assert dict(zip(later.tolist(), source.tolist())) == {2: 0, 3: 1}
+
+
+def test_a_table_without_an_estimate_is_counted(spark, monkeypatch):
+    docs = made(9)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(substrings, "plan_bytes", lambda _: None)
+    monkeypatch.setattr(substrings, "PART_BYTES", 1 << 10)
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(df).collect()), key=key) == sorted(plain(docs), key=key)
