@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,19 @@ def ship(spark: SparkSession) -> None:
     context._package_sent = True
 
 
+@contextmanager
+def settings_for(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Settings of the session for the jobs inside, as they were before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM's."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

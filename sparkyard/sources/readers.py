@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkyard.functions import jsons as J
 from sparkyard.functions.scalars import clip, strip, video_id
 from sparkyard.operators.parsing import FIELDS, lots_of_text, read_lots
+from sparkyard.session import names_in
 
 #: Id in the file names of stage documents, as transcript_<id>.json.
 _ID = r"(?:^|/)(?:video_info|transcript|screenshots|ocr_results|lots|metadata|result)_([^/]+)\.json$"
@@ -21,10 +23,14 @@ def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
+def _decoded(in_name: Column) -> Column:
+    """The id that `file_id` has made this part of a name of."""
+    return F.when(in_name.startswith("~"), F.decode(F.unhex(F.substr(in_name, F.lit(2))), "UTF-8")).otherwise(in_name)
+
+
 def named(rows: DataFrame) -> DataFrame:
     """(path, video_id, value) of rows (path, value)."""
-    in_name = F.nullif(F.regexp_extract("path", _ID, 1), F.lit(""))
-    return rows.select("path", F.when(in_name.startswith("~"), F.decode(F.unhex(F.substr(in_name, F.lit(2))), "UTF-8")).otherwise(in_name).alias("video_id"), "value")
+    return rows.select("path", _decoded(F.nullif(F.regexp_extract("path", _ID, 1), F.lit(""))).alias("video_id"), "value")
 
 
 def file_id(video_id: Column | str) -> Column:
@@ -33,15 +39,34 @@ def file_id(video_id: Column | str) -> Column:
     return F.when(c.rlike(r"^[A-Za-z0-9._-]+$"), c).otherwise(F.concat(F.lit("~"), F.lower(F.hex(c))))
 
 
+def _names(spark: SparkSession, stage: str, ids: Sequence[str], ending: str) -> list[str]:
+    """<stage>_<id><ending> of each id."""
+    return [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(F.concat(F.lit(f"{stage}_"), file_id("i"), F.lit(ending))).collect()] if ids else []
+
+
 def stage_documents(spark: SparkSession, folder: str, stage: str, ids: Sequence[str] | None = None) -> DataFrame:
     """(path, video_id, value) of a folder's documents <stage>_<id>.json; with ids, the files of others are not opened."""
     found = spark.read.text(folder, wholetext=True, pathGlobFilter=f"{stage}_*.json")
     if ids is not None:
-        names = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(F.concat(F.lit(f"{stage}_"), file_id("i"), F.lit(".json"))).collect()] if ids else []
-        found = found.where(F.col("_metadata.file_name").isin(names))
+        found = found.where(F.col("_metadata.file_name").isin(_names(spark, stage, ids, ".json")))
     return named(found.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
+def frame_images(spark: SparkSession, folder: str, ids: Sequence[str] | None = None) -> DataFrame:
+    """(video_id, file, length, modified, content) of the images in folder/screenshots_<id>/.
+
+    With ids, the folders of others are not listed. Bytes are read only where `content` is selected.
+    """
+    there = [n for n in names_in(spark, folder) if re.fullmatch(r"screenshots_[A-Za-z0-9._~-]+", n) and not n.endswith(".json")]
+    if ids is not None:
+        there = sorted(set(there) & set(_names(spark, "screenshots", ids, "")))
+    if not there:
+        return spark.createDataFrame([], "video_id string, file string, length bigint, modified timestamp, content binary")
+    read = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in there])
+    of = lambda group: F.regexp_extract("path", r"screenshots_([^/]+)/([^/]+)$", group)
+    return read.select(_decoded(of(1)).alias("video_id"), of(2).alias("file"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
 def known_ids(spark: SparkSession, folder: str, *stages: str) -> DataFrame:
     """(video_id) of all that have a document of these stages; only names are read."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{','.join(stages)}}}_*.json").load(folder).select("path", F.lit(None).cast("string").alias("value"))
