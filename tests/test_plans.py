@@ -192,13 +192,13 @@ def test_matrix(spark, tmp_path):
 
     from sparkyard.plans import matrix
 
-    def slow():
+    def slow(session):
         time.sleep(20)
 
-    def broken():
+    def broken(session):
         raise RuntimeError("no key")
 
-    runs = matrix.run_all(spark, {"a/b": lambda: spark.range(3), "c": broken, "d": slow}, f"{tmp_path}/runs", timeout=6.0)
+    runs = matrix.run_all(spark, {"a/b": lambda session: session.range(3), "c": broken, "d": slow}, f"{tmp_path}/runs", timeout=6.0)
     assert {r.model: r.status for r in runs.collect()} == {"a/b": "ok", "c": "failed", "d": "timeout"}
     assert spark.read.parquet(f"{tmp_path}/runs/model_dir=a_b").count() == 3
     lots_ = spark.createDataFrame([("v", "a/b", 5.0), ("v", "a/b", None)], "video_id string, model string, unit_price double")
@@ -207,6 +207,48 @@ def test_matrix(spark, tmp_path):
     assert len(got) == 6 and got["v", "a/b"] == ("ok", 2, 1, 1) and got["w", "a/b"] == ("ok", 0, 0, 0) and got["v", "c"] == ("failed", 0, 0, 0)
 
 
+def test_runs_are_isolated(spark, tmp_path):
+    """Settings and views are a run's own; of a run out of time nothing is left, and its earlier rows stay."""
+    import time
+
+    from sparkyard.plans import matrix
+
+    path, before = f"{tmp_path}/runs", spark.conf.get("spark.sql.shuffle.partitions")
+    seen = {}
+
+    def reads(name):
+        def run(session):
+            session.range(5).createOrReplaceTempView("mine") if name == "a" else None
+            session.conf.set("spark.sql.ansi.enabled", "true" if name == "a" else "false")
+            time.sleep(2)  # both are at work by now
+            seen[name] = (session.conf.get("spark.sql.shuffle.partitions"), session.conf.get("spark.sql.ansi.enabled"), session.catalog.tableExists("mine"))
+            return session.range(3)
+
+        return run
+
+    runs = matrix.run_all(spark, {"a": reads("a"), "b": reads("b")}, path, settings={"a": {"spark.sql.shuffle.partitions": "3"}})
+    assert {r.model: r.status for r in runs.collect()} == {"a": "ok", "b": "ok"}
+    assert seen == {"a": ("3", "true", True), "b": (before, "false", False)}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and not spark.catalog.tableExists("mine")
+
+    def endless(batches):
+        for b in batches:
+            time.sleep(0.2)
+            yield b
+
+    # one whose job writes slowly, one that is outside Spark when its time ends, one that takes the place of its earlier rows
+    job = lambda session: session.range(0, 200_000, 1, 4).mapInPandas(endless, "id bigint").where("id >= 0")
+    late = lambda session: time.sleep(12) or session.range(9)
+    session_conf = {"a": {"spark.sql.execution.arrow.maxRecordsPerBatch": "100"}}
+    runs = matrix.run_all(spark, {"a": job, "b": late, "c": lambda session: session.range(4)}, path, timeout=8.0, settings=session_conf)
+    assert {r.model: r.status for r in runs.collect()} == {"a": "timeout", "b": "timeout", "c": "ok"}
+    time.sleep(10)
+    assert {m: spark.read.parquet(f"{path}/model_dir={m}").count() for m in "abc"} == {"a": 3, "b": 3, "c": 4}
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir() if not p.name.endswith(".crc")) == ["model_dir=a", "model_dir=b", "model_dir=c"]
+    runs = matrix.run_all(spark, {"a": lambda session: session.range(7)}, path)
+    assert runs.first().status == "ok" and spark.read.parquet(path).groupBy("model_dir").count().orderBy("model_dir").first()["count"] == 7
+
+
 def test_providers(spark, evidence):
     calls = []
 
