@@ -449,6 +449,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auctions.batch(urls, found, _customer_lots(spark, sf_dir), failures)
 
 
+def _steady(items: DataFrame) -> DataFrame:
+    """Items with means of four digits: the last ones depend on the order of adding."""
+    prices = F.transform_values("category_prices", lambda _, v: F.round(v, 4))
+    return items.withColumns({"avg_price": F.round("avg_price", 4), "category_prices": prices})
+
+
+def _sql_amount(x: str) -> str:
+    """The same mean as text, with thousands commas."""
+    return f"printf('%,.2f', round({x}, 4))"
+
+
 @_query(
     f"""WITH {_ITEMS} SELECT idx::INTEGER AS index, CASE WHEN good THEN 'success' ELSE 'failed' END AS status, url, CASE WHEN NOT good THEN 'no video ' || n_nationkey END AS error, CASE WHEN good THEN i.video_id END AS video_id, CASE WHEN good THEN 'output/' || i.video_id END AS output_dir,
     CASE WHEN good THEN CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Ana' END END AS auction_name, CASE WHEN good THEN CASE WHEN n_nationkey % 4 = 1 THEN 'Bia' ELSE 'Ana' END END AS auctioneer_display, CASE WHEN good THEN coalesce(total_lots, 0) END::BIGINT AS total_lots,
@@ -476,36 +487,47 @@ def batch_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {_ITEMS} SELECT CASE WHEN good THEN 'OK' ELSE 'FAIL' END AS status, CASE WHEN good THEN i.video_id ELSE url END AS video, '-' AS date, '-' AS city, CASE WHEN NOT good THEN '-' WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Ana' END AS auction, CASE WHEN NOT good THEN '-' WHEN n_nationkey % 4 = 1 THEN 'Bia' ELSE 'Ana' END AS auctioneer,
-    CASE WHEN good THEN coalesce(total_lots, 0)::VARCHAR ELSE '-' END AS lots, CASE WHEN good THEN coalesce(total_animals, 0)::VARCHAR ELSE '-' END AS animals FROM i LEFT JOIN t USING (video_id)"""
+    CASE WHEN good THEN coalesce(total_lots, 0)::VARCHAR ELSE '-' END AS lots, CASE WHEN good THEN coalesce(total_animals, 0)::VARCHAR ELSE '-' END AS animals,
+    CASE WHEN good AND avg_price <> 0 THEN 'R$ ' || {_sql_amount("avg_price")} ELSE '-' END AS avg_price FROM i LEFT JOIN t USING (video_id)"""
 )
 def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terminal view of a batch; prices are compared in price_cells and money_format."""
-    return reports.batch_view(_items(spark, sf_dir)).drop("avg_price")
+    """The terminal view of a batch."""
+    return reports.batch_view(_steady(_items(spark, sf_dir)))
 
 
 @_query(
     f"""WITH {_ITEMS}, w AS (SELECT video_id, max(price) FILTER (WHERE category = 'furniture') AS furniture, max(price) FILTER (WHERE category = 'machinery') AS machinery FROM g GROUP BY 1)
-    SELECT video_id, CASE WHEN furniture IS NULL THEN '-' ELSE 'R$' END AS furniture, CASE WHEN machinery IS NULL THEN '-' ELSE 'R$' END AS machinery, '-' AS absent FROM i LEFT JOIN w USING (video_id) WHERE good"""
+    SELECT video_id, CASE WHEN furniture > 0 THEN 'R$ ' || {_sql_amount("furniture")} ELSE '-' END AS furniture, CASE WHEN machinery > 0 THEN 'R$ ' || {_sql_amount("machinery")} ELSE '-' END AS machinery, '-' AS absent FROM i LEFT JOIN w USING (video_id) WHERE good"""
 )
 def price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which category cells hold a price; the amounts are means, whose last digit depends on the order of adding."""
-    shown = reports.price_view(_items(spark, sf_dir), ["furniture", "machinery", "absent"])
-    return shown.select("video_id", *(F.split_part(F.col(c), F.lit(" "), F.lit(1)).alias(c) for c in ("furniture", "machinery", "absent")))
+    """The mean prices of categories by item, as shown."""
+    return reports.price_view(_steady(_items(spark, sf_dir)), ["furniture", "machinery", "absent"])
 
 
-@_query(
-    f"""WITH {_ITEMS}, j AS (SELECT i.*, coalesce(total_lots, 0) AS n, coalesce(total_animals, 0) AS a, coalesce(t.sold, 0) AS y, coalesce(t.not_sold, 0) AS x FROM i LEFT JOIN t USING (video_id)),
+_BATCH = f"""{_ITEMS}, j AS (SELECT i.*, coalesce(total_lots, 0) AS n, coalesce(total_animals, 0) AS a, coalesce(avg_price, 0) AS m, coalesce(t.sold, 0) AS y, coalesce(t.not_sold, 0) AS x FROM i LEFT JOIN t USING (video_id)),
     s AS (SELECT count(*) AS v, count(*) FILTER (WHERE good) AS ok, count(*) FILTER (WHERE NOT good) AS bad, sum(n) FILTER (WHERE good) AS n, sum(a) FILTER (WHERE good) AS a, sum(y) FILTER (WHERE good) AS y, sum(x) FILTER (WHERE good) AS x FROM j),
-    h(place, line) AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]), unnest(['# Batch nations', '', '## Summary', '', '- Videos processed: ' || v, '- Successful: ' || ok, '- Failed: ' || bad, '- Lots: ' || n, '- Animals: ' || a, '- Sold: ' || y, '- Not sold: ' || x, '', '## Comparison', '']) FROM s)
-    SELECT place::INTEGER AS place, line FROM h
-    UNION ALL SELECT (999 + idx)::INTEGER, CASE WHEN good THEN '| success | ' || video_id || ' | - | - | ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Ana' END || ' | ' || CASE WHEN n_nationkey % 4 = 1 THEN 'Bia' ELSE 'Ana' END || ' | ' || n || ' | ' || a ELSE '| failed | ' || url || ' | - | - | - | - | 0 | 0' END FROM j"""
+    top AS (SELECT category, row_number() OVER (ORDER BY sum(animals) DESC, min(idx * 1000 + rank)) AS k FROM g JOIN i USING (video_id) WHERE good GROUP BY 1 QUALIFY k <= 3),
+    best AS (SELECT arg_min(video_id, (-n, idx)) AS ln, max(n) AS n, arg_min(video_id, (-a, idx)) AS la, max(a) AS a, arg_min(video_id, (-m, idx)) FILTER (WHERE m <> 0) AS lm, max(round(m, 4)) FILTER (WHERE m <> 0) AS m FROM j WHERE good),
+    cells AS (SELECT idx, video_id, string_agg(CASE WHEN price > 0 THEN 'R$ ' || {_sql_amount("price")} ELSE '-' END, ' | ' ORDER BY k) AS line FROM (SELECT idx, i.video_id, k, price FROM i CROSS JOIN top LEFT JOIN g ON g.video_id = i.video_id AND g.category = top.category WHERE good) GROUP BY 1, 2)"""
+
+
+@_query(
+    f"""WITH {_BATCH}, h(place, line) AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]), unnest(['# Batch nations', '', '## Summary', '', '- Videos processed: ' || v, '- Successful: ' || ok, '- Failed: ' || bad, '- Lots: ' || s.n, '- Animals: ' || s.a, '- Sold: ' || y, '- Not sold: ' || x, '', '## Comparison', '',
+    '- Most lots: ' || ln || ' (' || best.n || ')', '- Most animals: ' || la || ' (' || best.a || ')', '- Highest average price: ' || lm || ' (' || best.m || ')']) FROM s, best)
+    SELECT place::INTEGER AS place, line FROM h WHERE line IS NOT NULL
+    UNION ALL SELECT (999 + idx)::INTEGER, CASE WHEN good THEN '| success | ' || video_id || ' | - | - | ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Ana' END || ' | ' || CASE WHEN n_nationkey % 4 = 1 THEN 'Bia' ELSE 'Ana' END || ' | ' || n || ' | ' || a || ' | ' || printf('%.2f', round(m, 4)) || ' |' ELSE '| failed | ' || url || ' | - | - | - | - | 0 | 0 | 0.00 |' END FROM j
+    UNION ALL SELECT 2000, '| Video | ' || string_agg(category, ' | ' ORDER BY k) || ' |' FROM top
+    UNION ALL SELECT (2000 + row_number() OVER (ORDER BY idx))::INTEGER, '| ' || video_id || ' | ' || line || ' |' FROM cells"""
 )
 def batch_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's head and its table of videos, line by line, without the mean prices."""
-    text = reports.markdown(reports.batch_report("nations", _items(spark, sf_dir)))
+    """The whole report line by line: totals, comparison, the table of videos (from 1000), that of prices (from 2000)."""
+    text = reports.markdown(reports.batch_report("nations", _steady(_items(spark, sf_dir))))
     lines = text.select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    head = lines.where("at < 14").select((F.col("at") + 1).alias("place"), "line")
-    table = lines.where(F.col("line").startswith("| success |") | F.col("line").startswith("| failed |"))
-    first = F.min("at").over(Window.partitionBy(F.lit(1)))  # lines of one report
-    rows = table.select((F.col("at") - first + 1000).alias("place"), F.regexp_replace("line", r" \| [0-9.]+ \|$", "").alias("line"))
-    return head.unionByName(rows)
+    one_report = Window.partitionBy(F.lit(1))  # its lines, some sixty
+    starts = {n: F.max(F.when(F.col("line").startswith(mark), F.col("at"))).over(one_report) for n, mark in (("v", "## Videos"), ("p", "## Preço"))}
+    marked = lines.withColumns(starts)
+    at = lambda first, to, place: marked.where((F.col("at") >= first) & (F.col("at") < to) & ~F.col("line").startswith("|---")).select(place.alias("place"), "line")
+    whole = at(F.lit(0), F.col("v") - 1, F.col("at") + 1)
+    videos = at(F.col("v") + 4, F.col("p") - 1, F.col("at") - F.col("v") + 996)
+    prices = at(F.col("p") + 2, F.lit(1 << 20), F.when(F.col("at") == F.col("p") + 2, 2000).otherwise(F.col("at") - F.col("p") + 1997))
+    return whole.unionByName(videos).unionByName(prices.where("line <> ''"))
